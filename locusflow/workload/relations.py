@@ -96,7 +96,7 @@ FROM {{part}}"""
     ),
     "local_freq": f"""
 SELECT (1 + {_P} % 22) || '-' || {_pos(_P, f"CASE WHEN {_P} % 4 = 0 THEN 0 ELSE 33 END")} || '-' || {_ref(_P)} || '-' || ({_alt(_P)}) AS key,
-  CAST(p_size AS DOUBLE) / 4000 AS af
+  CAST(p_size AS DOUBLE) / 3000 AS af
 FROM {{part}}""",
     "predictors": f"""
 SELECT (1 + {_P} % 22) || '-' || {_pos(_P)} || '-' || {_ref(_P)} || '-' || ({_alt(_P)}) AS key,
