@@ -11,7 +11,7 @@ from locusflow.functions.consequences import literal_map
 from locusflow.functions.info import carried_annotation
 from locusflow.functions.keys import LOCUS, locus_from_key, with_locus
 from locusflow.operators.intervals import flag_inside
-from locusflow.operators.skew import SALT, heavy_keys, salt_lookup, salt_rows
+from locusflow.operators.skew import FAN_OUT, HEAVY_FLOOR, SALT, heavy_keys, salt_lookup, salt_rows
 from locusflow.settings import CURATED_INHERITANCE, GENOME_BUILD
 
 SPREAD_ON = ["sample_id", "line_no"]
@@ -37,30 +37,24 @@ class Coverage:
 class LocusJoins:
     """Left joins of calls to several locus-keyed stores over one shared partitioning.
 
-    Calls are salted once on the four locus columns, so the joins that follow reuse the
-    same exchange; only loci carried by a large share of all calls are spread.
+    All joins use the same four locus columns, so they reuse one exchange of the calls.
+    Loci carried by a large share of all calls are found first and salted; without any,
+    the joins are plain and the adaptive planner may broadcast a store it measured small.
     """
 
-    def __init__(self, calls: DataFrame, spread_on: list[str] = SPREAD_ON, **skew):
+    def __init__(self, calls: DataFrame, spread_on: list[str] = SPREAD_ON, floor: int = HEAVY_FLOOR, fan: int = FAN_OUT):
         located = with_locus(calls)
-        self._fan = skew.pop("fan", None)
-        self._heavy = heavy_keys(located, LOCUS, **skew)
-        extra = {"fan": self._fan} if self._fan else {}
-        self.frame = salt_rows(located, LOCUS, self._heavy, spread_on, **extra)
+        self._heavy = heavy_keys(located, LOCUS, floor)
+        self._fan = fan
+        self._keys = [*LOCUS, SALT] if self._heavy else list(LOCUS)
+        self.frame = salt_rows(located, LOCUS, self._heavy, spread_on, fan) if self._heavy else located
 
     def left(self, store: DataFrame, columns: dict[str, Column]) -> "LocusJoins":
         """Add ``columns`` of a store holding one row per locus."""
         keyed = store.select(*LOCUS, *[c.alias(n) for n, c in columns.items()])
-        extra = {"fan": self._fan} if self._fan else {}
-        self.frame = self.frame.join(salt_lookup(keyed, LOCUS, self._heavy, **extra), [*LOCUS, SALT], "left")
-        return self
-
-    def where(self, test: Column) -> "LocusJoins":
-        self.frame = self.frame.where(test)
-        return self
-
-    def select(self, *columns) -> "LocusJoins":
-        self.frame = self.frame.select(*columns, *LOCUS, SALT)
+        if self._heavy:
+            keyed = salt_lookup(keyed, LOCUS, self._heavy, self._fan)
+        self.frame = self.frame.join(keyed, self._keys, "left")
         return self
 
     def done(self) -> DataFrame:

@@ -49,54 +49,55 @@ def information_content(terms: DataFrame, gene_terms: DataFrame, closure: DataFr
     )
 
 
-def gene_ancestor_profile(gene_terms: DataFrame, closure: DataFrame, ic: DataFrame) -> DataFrame:
+def gene_ancestor_profile(gene_terms: DataFrame, closure: DataFrame, ic: DataFrame, name_terms: bool) -> DataFrame:
     """For each gene and informative ancestor, the gene's broadest term under it.
 
     With the ancestor fixed, similarity grows as the gene term's own content falls, so
     this one term stands for all of the gene's terms below that ancestor and no term
-    pairs need to be formed.
+    pairs need to be formed. Without ``name_terms`` only its content is kept.
     """
     content = ic.select("term", F.col("ic").alias("term_ic"))
     above = ic.where(F.col("ic") > 0).select(F.col("term").alias("ancestor"), F.col("ic").alias("ancestor_ic"))
-    return (
-        gene_terms.select("gene", "term")
-        .join(closure, "term")
-        .join(above, "ancestor")
-        .join(content, "term")
-        .groupBy("gene", "ancestor", "ancestor_ic")
-        .agg(F.min(F.struct("term_ic", "term")).alias("best"))
-    )
+    reached = gene_terms.select("gene", "term").join(closure, "term").join(above, "ancestor").join(content, "term")
+    lowest = F.min(F.struct("term_ic", F.col("term").alias("gene_term")))
+    grouped = reached.groupBy("gene", "ancestor", "ancestor_ic")
+    if name_terms:
+        return grouped.agg(lowest.alias("b")).select("gene", "ancestor", "ancestor_ic", "b.term_ic", "b.gene_term")
+    return grouped.agg(F.min("term_ic").alias("term_ic"))
 
 
-def best_matches(pairs: DataFrame, gene_terms: DataFrame, closure: DataFrame, ic: DataFrame) -> DataFrame:
-    """Best Lin similarity of each (gene, patient term) pair and the gene term giving it.
+def best_matches(
+    pairs: DataFrame, gene_terms: DataFrame, closure: DataFrame, ic: DataFrame, name_terms: bool = True
+) -> DataFrame:
+    """Best Lin similarity of each (gene, patient term) pair and, if asked, the gene term giving it.
 
     ``pairs`` are distinct. Ties go to the smaller term id. Pairs sharing no informative
     ancestor are left out (their similarity is 0); an identical term scores 1 even when
-    it carries no information.
+    it carries no information. Plain maxima aggregate in hash tables, so the term names
+    are carried only on request.
     """
-    profile = gene_ancestor_profile(gene_terms, closure, ic)
+    profile = gene_ancestor_profile(gene_terms, closure, ic, name_terms)
     content = ic.select("term", F.col("ic").alias("patient_ic"))
-    both = F.col("patient_ic") + F.col("best.term_ic")
+    both = F.col("patient_ic") + F.col("term_ic")
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * F.col("ancestor_ic") / both))
+    named = ["gene_term"] if name_terms else []
+    terms = closure.join(content, "term")
     shared = (
         pairs.select("gene", "term")
-        .join(closure, "term")
+        .join(terms, "term")
         .join(profile, ["gene", "ancestor"])
-        .join(content, "term")
         .where(both > 0)
-        .select("gene", "term", similarity.alias("similarity"), F.col("best.term").alias("gene_term"))
+        .select("gene", "term", similarity.alias("similarity"), *named)
     )
     identical = pairs.select("gene", "term").join(gene_terms.select("gene", "term").distinct(), ["gene", "term"], "left_semi")
-    exact = identical.select("gene", "term", F.lit(1.0).alias("similarity"), F.col("term").alias("gene_term"))
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "gene_term"))
-    return (
-        shared.unionByName(exact)
-        .groupBy("gene", "term")
-        .agg(best.alias("b"))
-        .select("gene", "term", (-F.col("b.s")).alias("similarity"), F.col("b.gene_term").alias("gene_term"))
-        .where(F.col("similarity") > 0)
-    )
+    exact = identical.withColumns({"similarity": F.lit(1.0), **{n: F.col("term") for n in named}})
+    grouped = shared.unionByName(exact).groupBy("gene", "term")
+    if name_terms:
+        first = F.min(F.struct((-F.col("similarity")).alias("s"), "gene_term")).alias("b")
+        best = grouped.agg(first).select("gene", "term", (-F.col("b.s")).alias("similarity"), "b.gene_term")
+    else:
+        best = grouped.agg(F.max("similarity").alias("similarity"))
+    return best.where(F.col("similarity") > 0)
 
 
 def sample_gene_pairs(calls: DataFrame) -> DataFrame:
@@ -104,14 +105,15 @@ def sample_gene_pairs(calls: DataFrame) -> DataFrame:
 
 
 def term_matches(
-    sample_genes: DataFrame, patient_terms: DataFrame, gene_terms: DataFrame, closure: DataFrame, ic: DataFrame
+    sample_genes: DataFrame, patient_terms: DataFrame, gene_terms: DataFrame, closure: DataFrame, ic: DataFrame,
+    name_terms: bool = True,
 ) -> DataFrame:
     """Best gene term for each listed term of each sample's genes (repeats kept).
 
     The similarity is computed once per distinct (gene, term) and joined back.
     """
     wanted = sample_genes.join(patient_terms.select("sample_id", "term"), "sample_id")
-    best = best_matches(wanted.select("gene", "term").distinct(), gene_terms, closure, ic)
+    best = best_matches(wanted.select("gene", "term").distinct(), gene_terms, closure, ic, name_terms)
     return wanted.join(best, ["gene", "term"])
 
 
@@ -128,7 +130,7 @@ def phenotype_scores(
     Genes without any match are left out; read their score as 0.
     """
     listed = patient_terms.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    matched = term_matches(sample_genes, patient_terms, gene_terms, closure, ic)
+    matched = term_matches(sample_genes, patient_terms, gene_terms, closure, ic, name_terms=False)
     per_gene = matched.groupBy("sample_id", "gene").agg(
         F.sum("similarity").alias("_sum"),
         F.round(F.max("similarity"), 3).alias("hpo_best_match"),

@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 SALT = "_salt"
-# A key is heavy when it holds at least 1/HEAVY_SHARE of the rows, so there are never
-# more than HEAVY_SHARE of them: that bounds every broadcast of the heavy-key list.
-HEAVY_SHARE = 2000
+# The list of heavy keys is the most frequent HEAVY_LIST keys with at least HEAVY_FLOOR
+# rows. A key left off a full list holds no more than 1/HEAVY_LIST of the rows, because
+# every listed key holds at least as many. The list is a fixed size whatever the data.
+HEAVY_LIST = 2000
 HEAVY_FLOOR = 100_000
 FAN_OUT = 512
 
 
-def heavy_keys(
-    df: DataFrame, keys: list[str], share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR
-) -> DataFrame:
-    """Keys holding at least ``floor`` rows and at least one ``share``-th of all rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where((F.col("_rows") >= floor) & (F.col("_rows") * share >= total)).select(*keys)
+def heavy_keys(df: DataFrame, keys: list[str], floor: int = HEAVY_FLOOR, most: int = HEAVY_LIST) -> list[Row]:
+    """The keys to spread, found in one pass that reads only the key columns."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= floor)
+    return counts.orderBy(F.col("_rows").desc()).limit(most).select(*keys).collect()
+
+
+def _marked(df: DataFrame, keys: list[str], heavy: list[Row]) -> DataFrame:
+    listed = df.sparkSession.createDataFrame(heavy, df.select(*keys).schema).withColumn("_heavy", F.lit(True))
+    return df.join(F.broadcast(listed), keys, "left")
 
 
-def salt_rows(df: DataFrame, keys: list[str], heavy: DataFrame, spread_on: list[str], fan: int = FAN_OUT) -> DataFrame:
+def salt_rows(df: DataFrame, keys: list[str], heavy: list[Row], spread_on: list[str], fan: int = FAN_OUT) -> DataFrame:
     """Add a salt: 0 for ordinary keys, spread over ``fan`` values for heavy and NULL keys."""
-    marked = df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
+    if not heavy:
+        return df.withColumn(SALT, F.lit(0))
     no_key = F.col(keys[0]).isNull()
     for key in keys[1:]:
         no_key = no_key | F.col(key).isNull()
     spread = F.pmod(F.xxhash64(*spread_on), F.lit(fan)).cast("int")
-    return marked.withColumn(
-        SALT, F.when(F.col("_heavy") | no_key, spread).otherwise(F.lit(0))
-    ).drop("_heavy")
+    salt = F.when(F.col("_heavy") | no_key, spread).otherwise(F.lit(0))
+    return _marked(df, keys, heavy).withColumn(SALT, salt).drop("_heavy")
 
 
-def salt_lookup(table: DataFrame, keys: list[str], heavy: DataFrame, fan: int = FAN_OUT) -> DataFrame:
+def salt_lookup(table: DataFrame, keys: list[str], heavy: list[Row], fan: int = FAN_OUT) -> DataFrame:
     """Repeat only the rows of heavy keys, once for each salt value."""
-    marked = table.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
+    if not heavy:
+        return table.withColumn(SALT, F.lit(0))
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
-    return marked.withColumn(SALT, F.explode(salts)).drop("_heavy")
+    return _marked(table, keys, heavy).withColumn(SALT, F.explode(salts)).drop("_heavy")
 
 
 def lookup(
@@ -47,12 +51,13 @@ def lookup(
     keys: list[str],
     spread_on: list[str],
     how: str = "left",
-    share: int = HEAVY_SHARE,
     floor: int = HEAVY_FLOOR,
     fan: int = FAN_OUT,
 ) -> DataFrame:
     """Join to a table with one row per key; heavy keys are split over many tasks."""
-    heavy = heavy_keys(df, keys, share, floor)
+    heavy = heavy_keys(df, keys, floor)
+    if not heavy:
+        return df.join(table, keys, how)
     joined = salt_rows(df, keys, heavy, spread_on, fan).join(
         salt_lookup(table, keys, heavy, fan), [*keys, SALT], how
     )

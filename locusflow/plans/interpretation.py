@@ -94,7 +94,7 @@ def classify_candidates(
         found, k.constraint, k.haploinsufficient, inheritance_modes(k.gene_terms), k.secondary_genes
     )
     closure = ancestor_closure(k.terms, k.is_a)
-    content = information_content(k.terms, k.gene_terms, closure)
+    content = durable(information_content(k.terms, k.gene_terms, closure))
     scores = phenotype_scores(sample_gene_pairs(found), patient_terms, k.gene_terms, closure, content, t)
     return classify(with_phenotype(ev.with_gene_profile(found, profile), scores), t, explain)
 

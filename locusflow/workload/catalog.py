@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locusflow.workload import call_queries, report_queries  # noqa: F401
+from locusflow.workload import call_queries, report_queries, source_queries  # noqa: F401
 from locusflow.workload.oracle_steps import statement
 from locusflow.workload.registry import QUERIES, STATEMENTS, Query
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from locusflow.operators.durable import durable
 from locusflow.operators.evidence import Coverage
 from locusflow.operators.phenotype import ancestor_closure, information_content
+from locusflow.operators.routing import route
 from locusflow.operators.store_build import highest_score_per_locus
 from locusflow.plans.interpretation import Knowledge, classify_candidates, find_candidates, interpret
 from locusflow.sources.tables import intolerant
-from locusflow.workload.relations import spark_relation
+from locusflow.workload.relations import register_tables, spark_relation
 
+REFERENCE_TABLES = (
+    "is_a", "terms", "phenotype_terms", "gene_terms", "gene_constraint", "haploinsufficient", "secondary_genes",
+)
 COVERED = tuple(f"chr{n}" for n in range(1, 21))
 
 
@@ -27,9 +31,15 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: dict[str, DataFrame] = {}
+        self._relations: dict[str, DataFrame] = {}
+        self._views = register_tables(spark, sf_dir)
 
     def relation(self, name: str) -> DataFrame:
-        return spark_relation(self.spark, self.sf_dir, name)
+        """A derived relation; the ontology and gene tables are stored once, as releases would be."""
+        if name not in self._relations:
+            derived = spark_relation(self.spark, self._views, name)
+            self._relations[name] = durable(derived) if name in REFERENCE_TABLES else derived
+        return self._relations[name]
 
     def _keep(self, name: str, build) -> DataFrame:
         if name not in self._kept:
@@ -44,7 +54,7 @@ class Inputs:
     def coverage(self) -> Coverage:
         return Coverage("full", COVERED)
 
-    @property
+    @cached_property
     def knowledge(self) -> Knowledge:
         constraint = self.relation("gene_constraint")
         return Knowledge(
@@ -72,7 +82,9 @@ class Inputs:
 
     @property
     def content(self) -> DataFrame:
-        return information_content(self.relation("terms"), self.relation("gene_terms"), self.closure)
+        return self._keep(
+            "content", lambda: information_content(self.relation("terms"), self.relation("gene_terms"), self.closure)
+        )
 
     @property
     def found(self) -> DataFrame:
@@ -85,8 +97,6 @@ class Inputs:
         )
 
     def routed(self, explain: bool = False) -> DataFrame:
-        from locusflow.operators.routing import route
-
         return route(self.classified(explain))
 
     def fresh_interpretation(self) -> DataFrame:

@@ -7,6 +7,7 @@ operators do with it is written separately on each side.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,8 +120,10 @@ UNION ALL SELECT 'N' || n_nationkey, 'R' || (n_regionkey + 1) % 5 FROM {{nation}
 UNION ALL SELECT 'R' || r_regionkey, 'ROOT' FROM {{region}}""",
     "terms": "SELECT child AS term FROM is_a UNION SELECT parent FROM is_a",
     "phenotype_terms": f"""
-SELECT DISTINCT 'GENE' || (o_orderkey % 150) AS gene, {_LEAF} AS term
-FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey""",
+SELECT 'GENE' || (o_orderkey % 150) AS gene, {_LEAF} AS term FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
+UNION SELECT 'GENE' || (c_custkey % 50), {_LEAF} FROM {{customer}}
+UNION SELECT 'GENE' || (50 + c_custkey % 25), {_LEAF} FROM {{customer}}
+UNION SELECT 'GENE' || (75 + c_custkey % 75), {_LEAF} FROM {{customer}}""",
     "mode_terms": """
 SELECT 'gene' || g AS gene,
   CASE g % 6 WHEN 0 THEN 'HP:0000006' WHEN 1 THEN 'HP:0000007' WHEN 2 THEN 'HP:0000006'
@@ -172,12 +175,25 @@ def needed(sql: str, definitions: dict[str, str]) -> list[str]:
     return ordered
 
 
-def spark_relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Temporary views over the tables of one folder, by table name."""
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    views = {t: f"{t}_{tag}" for t in TABLES}
+    cores = spark.sparkContext.defaultParallelism
+    for table, view in views.items():
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        # A table with fewer file splits than cores would be worked on by a few tasks only.
+        if rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        rows.createOrReplaceTempView(view)
+    return views
+
+
+def spark_relation(spark: SparkSession, views: dict[str, str], name: str) -> DataFrame:
     query = f"SELECT * FROM {name}"
     used = needed(query, RELATIONS)
     text = "WITH " + ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in used) + f"\n{query}"
-    places = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(_RESERVED_END.sub("`end`", text.format(**places)))
+    return spark.sql(_RESERVED_END.sub("`end`", text.format(**views)))
 
 
 def oracle_relations() -> dict[str, str]:
