@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from locusflow.functions.keys import allele_matches
+from locusflow.functions.binding import let
+from locusflow.functions.keys import allele_matches, minimal_allele
 from locusflow.settings import (
     AMINO_ACIDS,
     CONSEQUENCE_SEVERITY,
@@ -34,7 +35,7 @@ def _effect(**values: Column) -> Column:
 
 
 def _usable(effect: Column) -> Column:
-    return F.when(effect["gene"].isNotNull() | effect["consequence"].isNotNull(), effect)
+    return let(effect, lambda e: F.when(e["gene"].isNotNull() | e["consequence"].isNotNull(), e))
 
 
 def _entries(text: Column) -> Column:
@@ -43,65 +44,88 @@ def _entries(text: Column) -> Column:
 
 def pick_ann(ann: Column, ref: Column, alt: Column, n_alts: Column) -> Column:
     """ANN: first entry naming this allele, else the first entry of a single-ALT record."""
+
+    def effect(entry: Column) -> Column:
+        fields = _effect(
+            gene=_text(entry[3]),
+            consequence=first_term(entry[1]),
+            hgvs_c=_text(entry[9]),
+            hgvs_p=_text(entry[10]),
+            exon=_text(entry[8]),
+            transcript=_text(entry[6]),
+        )
+        return F.when(entry.isNotNull(), fields)
+
+    def choose(complete: Column, minimal: Column) -> Column:
+        named = F.filter(complete, lambda f: allele_matches(f[0], ref, alt, minimal))
+        return let(
+            F.coalesce(F.get(named, F.lit(0)), F.when(n_alts == 1, F.get(complete, F.lit(0)))), effect
+        )
+
     complete = F.filter(_entries(ann), lambda f: F.size(f) >= 11)
-    named = F.filter(complete, lambda f: allele_matches(f[0], ref, alt))
-    entry = F.when(F.size(named) > 0, F.get(named, F.lit(0))).when(
-        (n_alts == 1) & (F.size(complete) > 0), F.get(complete, F.lit(0))
-    )
-    effect = _effect(
-        gene=_text(entry[3]),
-        consequence=first_term(entry[1]),
-        hgvs_c=_text(entry[9]),
-        hgvs_p=_text(entry[10]),
-        exon=_text(entry[8]),
-        transcript=_text(entry[6]),
-    )
-    return F.when(entry.isNotNull(), effect)
+    return let(minimal_allele(ref, alt), lambda m: let(complete, lambda found: choose(found, m)))
 
 
 def percent_decoded(text: Column) -> Column:
     """Decode percent escapes; a plus sign and malformed escapes stay as they are."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    decoded = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
 def pick_csq(
     csq: Column, fields: Column, ref: Column, alt: Column, alt_index: Column, n_alts: Column
 ) -> Column:
     """CSQ: this allele's entries, then PICK, CANONICAL, MANE_SELECT, first in that order."""
-    names = F.transform(fields, F.lower)
+    lower = F.transform(fields, lambda name: F.lower(name))
+    return let(
+        lower,
+        lambda names: let(
+            minimal_allele(ref, alt),
+            lambda minimal: _csq_effect(csq, names, ref, alt, minimal, alt_index, n_alts),
+        ),
+    )
+
 
+def _csq_effect(csq, names, ref, alt, minimal, alt_index, n_alts) -> Column:
     def raw(entry: Column, name: str) -> Column:
-        at = F.array_position(names, F.lit(name)).cast("int")
-        return F.when(at > 0, _text(F.get(entry, at - 1)))
+        return let(
+            F.array_position(names, F.lit(name)).cast("int"),
+            lambda at: F.when(at > 0, _text(F.get(entry, at - 1))),
+        )
 
     def value(entry: Column, name: str) -> Column:
-        return percent_decoded(raw(entry, name))
+        return let(raw(entry, name), percent_decoded)
 
     def names_allele(entry: Column) -> Column:
-        by_number = raw(entry, "allele_num")
-        at = F.array_position(names, F.lit("allele")).cast("int")
-        by_text = F.when(at > 0, allele_matches(F.get(entry, at - 1), ref, alt))
-        return F.coalesce(by_number == (alt_index + 1).cast("string"), by_text, F.lit(False))
-
-    entries = _entries(csq)
-    named = F.filter(entries, names_allele)
-    pool = F.when(F.size(named) > 0, named).when(n_alts == 1, entries)
-    first_where = lambda test: F.get(F.filter(pool, test), F.lit(0))
-    entry = F.coalesce(
-        first_where(lambda e: value(e, "pick") == "1"),
-        first_where(lambda e: value(e, "canonical") == "YES"),
-        first_where(lambda e: value(e, "mane_select").isNotNull()),
-        F.get(pool, F.lit(0)),
-    )
-    effect = _effect(
-        gene=F.coalesce(value(entry, "symbol"), value(entry, "gene")),
-        consequence=first_term(value(entry, "consequence")),
-        hgvs_c=value(entry, "hgvsc"),
-        hgvs_p=value(entry, "hgvsp"),
-        exon=value(entry, "exon"),
-        transcript=value(entry, "feature"),
-    )
-    return F.when(entry.isNotNull(), effect)
+        by_text = let(raw(entry, "allele"), lambda named: allele_matches(named, ref, alt, minimal))
+        by_number = raw(entry, "allele_num") == (alt_index + 1).cast("string")
+        return F.coalesce(by_number, by_text, F.lit(False))
+
+    def effect(entry: Column) -> Column:
+        fields = _effect(
+            gene=F.coalesce(value(entry, "symbol"), value(entry, "gene")),
+            consequence=first_term(value(entry, "consequence")),
+            hgvs_c=value(entry, "hgvsc"),
+            hgvs_p=value(entry, "hgvsp"),
+            exon=value(entry, "exon"),
+            transcript=value(entry, "feature"),
+        )
+        return F.when(entry.isNotNull(), fields)
+
+    def best(pool: Column) -> Column:
+        first_where = lambda test: F.get(F.filter(pool, test), F.lit(0))
+        return F.coalesce(
+            first_where(lambda e: raw(e, "pick") == "1"),
+            first_where(lambda e: raw(e, "canonical") == "YES"),
+            first_where(lambda e: raw(e, "mane_select").isNotNull()),
+            F.get(pool, F.lit(0)),
+        )
+
+    def pool_of(entries: Column) -> Column:
+        named = F.filter(entries, names_allele)
+        return let(named, lambda own: F.when(F.size(own) > 0, own).when(n_alts == 1, entries))
+
+    return let(_entries(csq), lambda entries: let(pool_of(entries), lambda pool: let(best(pool), effect)))
 
 
 def legacy_protein_change(change: Column) -> Column:
@@ -117,41 +141,41 @@ def legacy_protein_change(change: Column) -> Column:
 
 def pick_eff(eff: Column, alt_index: Column, n_alts: Column) -> Column:
     """Legacy EFF: highest impact for this ALT, protein-coding preferred, first on ties."""
-    impact = literal_map(LEGACY_IMPACT)
-    effects = literal_map(LEGACY_EFFECTS)
-    inside = lambda e: F.split(
-        F.regexp_replace(F.substr(e, F.instr(e, "(") + 1), r"\)+$", ""), "[|]"
-    )
-    scored = F.transform(
-        F.split(eff, ","),
-        lambda e, i: F.struct(
-            (
-                F.coalesce(F.element_at(impact, F.get(inside(e), F.lit(0))), F.lit(0)) * 2
-                + F.when(F.get(inside(e), F.lit(6)) == "protein_coding", 1).otherwise(0)
-            ).alias("score"),
-            (-i).alias("order"),
-            F.trim(F.substring_index(e, "(", 1)).alias("effect"),
-            inside(e).alias("f"),
-            F.contains(e, F.lit("(")).alias("shaped"),
-        ),
-    )
+    impact, effects = literal_map(LEGACY_IMPACT), literal_map(LEGACY_EFFECTS)
+
+    def scored(e: Column, i: Column) -> Column:
+        inside = F.split(F.regexp_replace(F.substr(e, F.instr(e, "(") + 1), r"\)+$", ""), "[|]")
+        return let(
+            inside,
+            lambda f: F.struct(
+                (
+                    F.coalesce(F.element_at(impact, F.get(f, F.lit(0))), F.lit(0)) * 2
+                    + F.when(F.get(f, F.lit(6)) == "protein_coding", 1).otherwise(0)
+                ).alias("score"),
+                (-i).alias("order"),
+                F.trim(F.substring_index(e, "(", 1)).alias("effect"),
+                f.alias("f"),
+                F.contains(e, F.lit("(")).alias("shaped"),
+            ),
+        )
 
     def eligible(entry: Column) -> Column:
         genotype = F.get(entry["f"], F.lit(10))
-        other_allele = (
-            (n_alts > 1) & genotype.rlike(r"^\d+$") & (genotype.try_cast("int") != alt_index + 1)
-        )
+        other_allele = (n_alts > 1) & genotype.rlike(r"^\d+$") & (genotype.try_cast("int") != alt_index + 1)
         return entry["shaped"] & (F.size(entry["f"]) >= 10) & ~F.coalesce(other_allele, F.lit(False))
 
-    best = F.array_max(F.filter(scored, eligible))
-    effect = _effect(
-        gene=_text(best["f"][5]),
-        consequence=F.coalesce(F.element_at(effects, best["effect"]), _text(F.lower(best["effect"]))),
-        hgvs_p=legacy_protein_change(best["f"][3]),
-        exon=_text(best["f"][9]),
-        transcript=_text(best["f"][8]),
-    )
-    return F.when(best.isNotNull(), effect)
+    def effect(best: Column) -> Column:
+        fields = _effect(
+            gene=_text(best["f"][5]),
+            consequence=F.coalesce(F.element_at(effects, best["effect"]), _text(F.lower(best["effect"]))),
+            hgvs_p=legacy_protein_change(best["f"][3]),
+            exon=_text(best["f"][9]),
+            transcript=_text(best["f"][8]),
+        )
+        return F.when(best.isNotNull(), fields)
+
+    entries = F.transform(F.split(eff, ","), scored)
+    return let(F.array_max(F.filter(entries, eligible)), effect)
 
 
 def effect_of(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from locusflow.functions.binding import let
 from locusflow.settings import INFO_ALIASES
 
 
@@ -19,23 +20,21 @@ def info_map(info: Column) -> Column:
             .alias("value"),
         ),
     )
-    keys = F.transform(pairs, lambda p: p["key"])
-    kept = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["key"]),
-    )
+
+    def last_of_each(found: Column, keys: Column) -> Column:
+        repeated = lambda p, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"])
+        once = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(once, found).otherwise(F.filter(found, lambda p, i: ~repeated(p, i)))
+
+    kept = let(pairs, lambda found: let(F.transform(found, lambda p: p["key"]), lambda keys: last_of_each(found, keys)))
     empty = F.create_map().cast("map<string,string>")
     return F.when(info.isNull() | info.isin(".", ""), empty).otherwise(F.map_from_entries(kept))
 
 
 def first_usable(info: Column, names: list[str]) -> Column:
     """Value of the first key that is present and neither empty nor ``.``."""
-    return F.coalesce(
-        *[
-            F.when(~F.element_at(info, name).isin("", "."), F.element_at(info, name))
-            for name in names
-        ]
-    )
+    usable = lambda value: F.when(~value.isin("", "."), value)
+    return F.coalesce(*[usable(F.element_at(info, name)) for name in names])
 
 
 def alias_value(info: Column, field: str) -> Column:
@@ -44,8 +43,10 @@ def alias_value(info: Column, field: str) -> Column:
 
 def per_allele(text: Column, index: Column) -> Column:
     """Element for this allele; a single value serves every allele, a short list serves none."""
-    parts = F.split(text, ",")
-    return F.when(index < F.size(parts), F.get(parts, index)).when(F.size(parts) == 1, F.get(parts, F.lit(0)))
+    pick = lambda parts: F.when(index < F.size(parts), F.get(parts, index)).when(
+        F.size(parts) == 1, F.get(parts, F.lit(0))
+    )
+    return let(F.split(text, ","), pick)
 
 
 def number(text: Column) -> Column:

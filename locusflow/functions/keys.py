@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.functions.binding import let
+
 LOCUS = ["locus_chrom", "locus_pos", "locus_ref", "locus_alt"]
 
 
@@ -54,16 +56,19 @@ def locus_from_key(df: DataFrame, key: str = "key") -> DataFrame:
 
 def zygosity(genotype: Column, allele_number: Column) -> Column:
     """State of one ALT number; NULL for a no-call and for samples not carrying it."""
-    alleles = F.split(F.translate(genotype, "|", "/"), "/")
     wanted = allele_number.cast("string")
-    carried = F.size(F.filter(alleles, lambda a: a == wanted))
-    missing = F.exists(alleles, lambda a: a.isin(".", "-1"))
-    return (
-        F.when(genotype.isNull() | missing | (carried == 0), F.lit(None).cast("string"))
-        .when(F.size(alleles) == 1, "hemi")
-        .when(carried == F.size(alleles), "hom")
-        .otherwise("het")
-    )
+
+    def state(alleles: Column) -> Column:
+        carried = F.size(F.filter(alleles, lambda a: a == wanted))
+        missing = alleles.isNull() | F.exists(alleles, lambda a: a.isin(".", "-1"))
+        return (
+            F.when(missing | (carried == 0), F.lit(None).cast("string"))
+            .when(F.size(alleles) == 1, "hemi")
+            .when(carried == F.size(alleles), "hom")
+            .otherwise("het")
+        )
+
+    return let(F.split(F.translate(genotype, "|", "/"), "/"), state)
 
 
 def reportable_allele(alt: Column) -> Column:
@@ -74,23 +79,23 @@ def reportable_allele(alt: Column) -> Column:
 def minimal_allele(ref: Column, alt: Column) -> Column:
     """ALT with the bases it shares with the start of REF removed; ``-`` when nothing is left."""
     shortest = F.least(F.length(ref), F.length(alt))
-    differs = F.when(shortest == 0, F.array().cast("array<boolean>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(shortest, F.lit(1))),
-            lambda i: F.substr(ref, i, F.lit(1)) != F.substr(alt, i, F.lit(1)),
-        )
+    differs = F.transform(
+        F.sequence(F.lit(1), shortest),
+        lambda i: F.substr(ref, i, F.lit(1)) != F.substr(alt, i, F.lit(1)),
+    )
+    start = let(
+        F.array_position(differs, F.lit(True)).cast("int"),
+        lambda first: F.when(first > 0, first).otherwise(shortest + 1),
     )
-    first_difference = F.array_position(differs, F.lit(True)).cast("int")
-    start = F.when(first_difference > 0, first_difference).otherwise(shortest + 1)
-    rest = F.substr(alt, start)
-    return F.when(rest == "", "-").otherwise(rest)
+    rest = let(F.substr(alt, start), lambda x: F.when(x == "", "-").otherwise(x))
+    same_start = F.substr(ref, F.lit(1), F.lit(1)) == F.substr(alt, F.lit(1), F.lit(1))
+    return F.when((shortest == 0) | ~same_start, F.when(alt == "", "-").otherwise(alt)).otherwise(rest)
 
 
-def allele_matches(named: Column, ref: Column, alt: Column) -> Column:
+def allele_matches(named: Column, ref: Column, alt: Column, minimal: Column) -> Column:
     """Does an annotator's allele text name this ALT, in full or minimal form?"""
-    by_ref = named == minimal_allele(ref, alt)
     without_ref = (named == F.substr(alt, F.lit(2))) | (named == "-")
-    return (named == alt) | F.when(ref == "", without_ref).otherwise(by_ref)
+    return (named == alt) | F.when(ref == "", without_ref).otherwise(named == minimal)
 
 
 def contig_list(spec: str) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.functions.binding import let
 from locusflow.functions.consequences import literal_map
 from locusflow.functions.keys import bare_contig
 from locusflow.operators.explore import bucket_memberships, findings_table
@@ -16,7 +17,10 @@ c = F.col
 
 def general_number(x: Column) -> Column:
     """Six significant digits without trailing zeros, scientific outside 1e-4 to 1e6."""
-    scientific = F.format_string("%.5e", x)
+    return let(F.when(x.isNotNull(), F.format_string("%.5e", x)), lambda scientific: _general(x, scientific))
+
+
+def _general(x: Column, scientific: Column) -> Column:
     exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
     trimmed = lambda text: F.regexp_replace(text, r"\.?0+$", "")
     fixed = F.when(x == 0, "0")
@@ -24,7 +28,8 @@ def general_number(x: Column) -> Column:
         digits = F.format_string(f"%.{5 - e}f", x)
         fixed = fixed.when(exponent == e, F.when(F.contains(digits, F.lit(".")), trimmed(digits)).otherwise(digits))
     mantissa = trimmed(F.substring_index(scientific, "e", 1))
-    return fixed.otherwise(F.concat(mantissa, F.lit("e"), F.regexp_extract(scientific, r"e([+-]\d+)$", 1)))
+    other = F.concat(mantissa, F.lit("e"), F.regexp_extract(scientific, r"e([+-]\d+)$", 1))
+    return F.when(x.isNotNull(), fixed.otherwise(other))
 
 
 def info_safe(text: Column) -> Column:

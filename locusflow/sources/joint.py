@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.functions.binding import let
 from locusflow.functions.info import info_map, per_allele
 from locusflow.functions.keys import reportable_allele
 from locusflow.operators.intervals import restrict_to_intervals
@@ -90,7 +91,7 @@ def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str])
         F.concat(F.lit("gnomad_AN="), text(pick("AN"))),
         F.concat(F.lit("gnomad_nhomalt="), text(pick("nhomalt"))),
         F.concat(F.lit("gnomad_popmax="), F.when(own, "hgdp_tgp").otherwise(text(value("gnomad_popmax")))),
-        F.when(F.size(renumbered) > 0, F.concat(F.lit("CSQ="), F.array_join(renumbered, ","))),
+        let(renumbered, lambda kept: F.when(F.size(kept) > 0, F.concat(F.lit("CSQ="), F.array_join(kept, ",")))),
     )
     rows = _carried(_sample_rows(lines, regions).withColumn("info", info_map(c("info_text"))))
     return rows.withColumn("info_text", out).select(*KEPT)

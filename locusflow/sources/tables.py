@@ -89,7 +89,7 @@ MISSENSE_SNAPSHOT = "am_pathogenicity double, am_class string"
 
 def manifest_terms(manifest: DataFrame) -> DataFrame:
     """One row per case and term; a case without terms keeps one row with NULL."""
-    terms = F.filter(F.transform(F.split(F.coalesce("hpo", F.lit("")), ","), F.trim), lambda x: x != "")
+    terms = F.filter(F.transform(F.split(F.coalesce("hpo", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     others = [c for c in manifest.columns if c != "hpo"]
     return manifest.select(*others, F.explode_outer(terms).alias("term"))
 

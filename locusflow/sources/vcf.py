@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions.consequences import FIELDS, effect_of
+from locusflow.functions.binding import let
 from locusflow.functions.info import info_map
 from locusflow.functions.keys import reportable_allele, zygosity
 from locusflow.operators.skew import spread_lookup
@@ -49,7 +50,7 @@ def file_headers(lines: DataFrame) -> DataFrame:
     return per_file.select(
         "file",
         F.when(F.col("is38"), "GRCh38").when(F.col("is37"), "GRCh37").alias("build"),
-        F.transform(F.split(layout, "[|]"), F.trim).alias("csq_fields"),
+        F.transform(F.split(layout, "[|]"), lambda x: F.trim(x)).alias("csq_fields"),
         F.when(F.size(columns) > 9, F.slice(columns, 10, F.size(columns) - 9))
         .otherwise(F.array().cast("array<string>"))
         .alias("sample_names"),
@@ -89,28 +90,39 @@ def parse_records(lines: DataFrame) -> DataFrame:
 def sample_metrics(format_: Column, sample: Column, alt_index: Column) -> Column:
     """Genotype fields of one sample for one ALT; pairing stops at the shorter list."""
     names, values = F.split(format_, ":"), F.split(sample, ":")
-    shared = F.least(F.size(names), F.size(values))
-    names = F.slice(names, F.lit(1), shared)
     usable = (F.coalesce(format_, F.lit("")) != "") & (F.coalesce(sample, F.lit("")) != "")
 
-    def value(name: str) -> Column:
-        from_end = F.array_position(F.reverse(names), F.lit(name)).cast("int")
-        return F.when(usable & (from_end > 0), F.get(values, shared - from_end))
+    def fields(both: Column) -> Column:
+        shared = F.least(F.size(both["names"]), F.size(both["values"]))
+        paired = F.reverse(F.slice(both["names"], F.lit(1), shared))
+
+        def value(name: str) -> Column:
+            return let(
+                F.array_position(paired, F.lit(name)).cast("int"),
+                lambda from_end: F.when(from_end > 0, F.get(both["values"], shared - from_end)),
+            )
+
+        return F.struct(*[value(n).alias(n) for n in ("GT", "DP", "GQ", "AD")])
+
+    def depths(text: Column) -> Column:
+        parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
+        return let(parts, lambda p: F.when(text.contains(",") & ~F.exists(p, lambda x: x.isNull()), p))
+
+    def metrics(f: Column, counts: Column, total: Column) -> Column:
+        covered = (total > 0) & (F.size(counts) > alt_index + 1)
+        stated = F.when(f["DP"].rlike("^[0-9]+$"), f["DP"].try_cast("int"))
+        return F.struct(
+            zygosity(f["GT"], alt_index + 1).alias("zygosity"),
+            F.coalesce(stated, F.when(total > 0, total)).alias("depth"),
+            F.when(~f["GQ"].isin(".", "-1"), F.trim(f["GQ"]).try_cast("double").try_cast("int")).alias("gq"),
+            F.when(covered, F.round(F.get(counts, alt_index + 1) / total, 3)).alias("allele_balance"),
+        )
 
-    genotype, depth, quality, ad = value("GT"), value("DP"), value("GQ"), value("AD")
-    parts = F.transform(F.split(ad, ","), lambda x: F.trim(x).try_cast("int"))
-    counts = F.when(
-        ad.contains(",") & ~F.exists(parts, lambda x: x.isNull()), parts
-    )
-    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    covered = (total > 0) & (F.size(counts) > alt_index + 1)
-    return F.struct(
-        zygosity(genotype, alt_index + 1).alias("zygosity"),
-        F.coalesce(
-            F.when(depth.rlike("^[0-9]+$"), depth.try_cast("int")), F.when(total > 0, total)
-        ).alias("depth"),
-        F.when(~quality.isin(".", "-1"), F.trim(quality).try_cast("double").try_cast("int")).alias("gq"),
-        F.when(covered, F.round(F.get(counts, alt_index + 1) / total, 3)).alias("allele_balance"),
+    summed = lambda counts: F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    both = F.when(usable, F.struct(names.alias("names"), values.alias("values")))
+    return let(
+        let(both, fields),
+        lambda f: let(depths(f["AD"]), lambda counts: let(summed(counts), lambda total: metrics(f, counts, total))),
     )
 
 

@@ -593,7 +593,7 @@ def _(spark, d):
 
 @query(
     "FN31_allele_confirmation",
-    f"SELECT accession, n % 3 <> 2 AS confirmed, false AS confirmed_other, nullif(significance, '') AS significance, review_status, condition || '; second' AS condition FROM {_ASSERTED} x",
+    f"SELECT accession, n % 3 <> 2 AS confirmed, false AS confirmed_other, nullif(significance, '') AS significance, review_status, CASE WHEN n % 2 = 0 THEN condition || '; second' END AS condition FROM {_ASSERTED} x",
 )
 def _(spark, d):
     confirm = lambda alt: rec.confirms_allele(c("variation_set"), c("chrom"), c("pos"), c("ref"), alt)
