@@ -41,7 +41,7 @@ class Inputs:
             self._relations[name] = durable(derived) if name in REFERENCE_TABLES else derived
         return self._relations[name]
 
-    def _keep(self, name: str, build) -> DataFrame:
+    def keep(self, name: str, build) -> DataFrame:
         if name not in self._kept:
             self._kept[name] = durable(build())
         return self._kept[name]
@@ -78,20 +78,20 @@ class Inputs:
 
     @property
     def closure(self) -> DataFrame:
-        return self._keep("closure", lambda: ancestor_closure(self.relation("terms"), self.relation("is_a")))
+        return self.keep("closure", lambda: ancestor_closure(self.relation("terms"), self.relation("is_a")))
 
     @property
     def content(self) -> DataFrame:
-        return self._keep(
+        return self.keep(
             "content", lambda: information_content(self.relation("terms"), self.relation("gene_terms"), self.closure)
         )
 
     @property
     def found(self) -> DataFrame:
-        return self._keep("found", lambda: find_candidates(self.calls, self.knowledge))
+        return self.keep("found", lambda: find_candidates(self.calls, self.knowledge))
 
     def classified(self, explain: bool = False) -> DataFrame:
-        return self._keep(
+        return self.keep(
             f"classified{explain}",
             lambda: classify_candidates(self.found, self.patient_terms, self.knowledge, explain=explain),
         )

@@ -89,13 +89,18 @@ def call_lines(calls: DataFrame) -> DataFrame:
     return header.unionByName(records)
 
 
+def stored_call_lines(i) -> DataFrame:
+    """The text as a stored table, so that parsing starts from text and not from its derivation."""
+    return i.keep("call_lines", lambda: call_lines(i.calls))
+
+
 @query(
     "SRC1_to_SRC6_vcf_calls",
     """SELECT sample_id, line_no, chrom, pos, ref, alt, gene, consequence, hgvs_c, hgvs_p, transcript, zygosity,
        CASE WHEN line_no % 5 = 0 THEN 100 ELSE depth END AS depth, gq, allele_balance, filter_status, variant_id, n_alts, alt_index FROM calls""",
 )
 def _(spark, d):
-    parsed = vcf.parse_calls(call_lines(inputs(spark, d).calls))
+    parsed = vcf.parse_calls(stored_call_lines(inputs(spark, d)))
     return parsed.select(
         "sample_id", "line_no", "chrom", "pos", "ref", "alt", "gene", "consequence", "hgvs_c", "hgvs_p", "transcript",
         "zygosity", "depth", "gq", "allele_balance", "filter_status", "variant_id", "n_alts", "alt_index",
@@ -108,13 +113,13 @@ def _(spark, d):
        sample_id AS samples, 'Allele|Consequence|SYMBOL' AS csq FROM calls""",
 )
 def _(spark, d):
-    headers = vcf.file_headers(call_lines(inputs(spark, d).calls))
+    headers = vcf.file_headers(stored_call_lines(inputs(spark, d)))
     return headers.select("file", "build", F.array_join("sample_names", ",").alias("samples"), F.array_join("csq_fields", "|").alias("csq"))
 
 
 @query("FLT6_sample_choice", "SELECT DISTINCT sample_id AS file, 1 AS n_samples, false AS defaulted_to_first FROM calls")
 def _(spark, d):
-    return sel.sample_choice_warning(vcf.file_headers(call_lines(inputs(spark, d).calls)), None)
+    return sel.sample_choice_warning(vcf.file_headers(stored_call_lines(inputs(spark, d))), None)
 
 
 @query(
@@ -259,8 +264,10 @@ def _(spark, d):
         .when(kind == 2, "gnomad_AF=x,y,z;CLNSIG=Likely_pathogenic,_low_penetrance;am_pathogenicity=0.6")
         .otherwise("gnomad_AF=.;CLNSIG=.;am_pathogenicity=.")
     )
-    carried = nf.carried_annotation(nf.info_map(F.concat(af, F.lit(";REVEL=.,0.4,0.9"))), c("alt_index"))
-    return inputs(spark, d).calls.withColumn("v", carried).select(
+    text = F.concat(af, F.lit(";REVEL=.,0.4,0.9"))
+    i = inputs(spark, d)
+    stored = i.keep("carried_info", lambda: i.calls.select("sample_id", "line_no", "alt_index", nf.info_map(text).alias("info")))
+    return stored.withColumn("v", nf.carried_annotation(c("info"), c("alt_index"))).select(
         "sample_id", "line_no", *[c(f"v.{x}").alias(x) for x in ("has_gnomad", "gnomad_af", "gnomad_ac", "revel", "clinvar_significance", "am_pathogenicity")]
     )
 
@@ -522,7 +529,7 @@ def _joint_lines(i):
     header = i.calls.select("sample_id").distinct().select(
         c("sample_id").alias("file"), F.lit(-1).cast("bigint").alias("line_no"), F.lit(COLUMNS + "A\tB\tC").alias("value")
     )
-    return header.unionByName(as_lines(i.calls, line, c("sample_id"), c("line_no")))
+    return i.keep("joint_lines", lambda: header.unionByName(as_lines(i.calls, line, c("sample_id"), c("line_no"))))
 
 
 @query(
@@ -616,7 +623,7 @@ def _(spark, d):
        true AS annotated, 'consequence' AS annotation_source, 'CSQ,DB,GENE,HGVSC,HGVSP,TRANSCRIPT' AS info_fields, 'CSQ' AS annotation_fields FROM calls GROUP BY sample_id""",
 )
 def _(spark, d):
-    inventory = hl.file_inventory(vcf.parse_calls(call_lines(inputs(spark, d).calls)))
+    inventory = hl.file_inventory(vcf.parse_calls(stored_call_lines(inputs(spark, d))))
     return inventory.withColumns({x: F.array_join(x, ",") for x in ("info_fields", "annotation_fields")})
 
 
@@ -627,6 +634,6 @@ def _(spark, d):
        WHERE criteria <> 'build warning' OR odd = 1""",
 )
 def _(spark, d):
-    lines = call_lines(inputs(spark, d).calls)
+    lines = stored_call_lines(inputs(spark, d))
     inventory = hl.file_inventory(vcf.parse_calls(lines))
     return hl.available_criteria(inventory, vcf.file_headers(lines), {"gnomad", "clinvar", "hpo"}, phenotype_given=False)
