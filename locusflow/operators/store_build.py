@@ -199,7 +199,9 @@ def extend_store(store: DataFrame, path: str, wanted: DataFrame, scopes_path: st
     fs, Path = _filesystem(spark, scopes_path)
     schema = wanted.select("chrom", "region", "bed", "preset").schema
     built = spark.read.schema(schema).parquet(scopes_path) if fs.exists(Path(scopes_path)) else spark.createDataFrame([], schema)
-    pending = contigs_to_build(wanted, built)
+    # One row per contig: at most a few hundred, and read before the scopes are rewritten.
+    known = spark.createDataFrame(built.collect(), schema)
+    pending = spark.createDataFrame(contigs_to_build(wanted.select(schema.names), known).collect(), schema)
     part = store.join(pending.select("chrom"), "chrom", "left_semi")
     (
         part.repartitionByRange("chrom", "pos")
@@ -209,10 +211,8 @@ def extend_store(store: DataFrame, path: str, wanted: DataFrame, scopes_path: st
         .partitionBy("chrom")
         .parquet(path)
     )
-    kept = built.join(pending.select("chrom"), "chrom", "left_anti")
-    scopes = kept.unionByName(pending.select("chrom", "region", "bed", "preset")).collect()
-    # One row per contig: at most a few hundred.
-    spark.createDataFrame(scopes, schema).coalesce(1).write.mode("overwrite").parquet(scopes_path)
+    kept = known.join(pending.select("chrom"), "chrom", "left_anti")
+    kept.unionByName(pending).coalesce(1).write.mode("overwrite").parquet(scopes_path)
     return pending
 
 
