@@ -7,6 +7,7 @@ import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from locusflow.operators.evidence import with_frequency
 from locusflow.operators.intervals import flag_inside, merge_intervals
@@ -53,7 +54,9 @@ WORK = {
     "frequency_join": lambda i: with_frequency(passing_calls(i.calls), i.relation("freq_store"), i.coverage),
     "funnel": lambda i: all_queries()["AGG6_funnel"](i.spark, i.sf_dir),
     "candidates": lambda i: find_candidates(i.calls, i.knowledge),
-    "candidate_ranking": lambda i: rank_candidates(find_candidates(i.calls, i.knowledge)),
+    "candidate_ranking": lambda i: rank_candidates(
+        find_candidates(i.calls, i.knowledge).withColumn("hpo_match_score", F.lit(0.0))
+    ),
     "point_in_interval": inside,
     "phenotype_score": phenotype,
     "whole_interpretation": lambda i: i.fresh_interpretation(),
