@@ -143,8 +143,10 @@ def parse_calls(lines: DataFrame, sample: str | None = None, all_samples: bool =
     records = spread_lookup(parse_records(lines), file_headers(lines), ["file"], "line_no")
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.vcf(\.b?gz)?$", "")
     if all_samples:
-        per_sample = records.select(
-            "*", F.posexplode_outer("sample_fields").alias("sample_at", "sample_text")
+        # A record may end before its sample columns; every named sample still gets its row.
+        columns = F.when(F.size("sample_names") > 0, F.col("sample_names")).otherwise(F.col("sample_fields"))
+        per_sample = records.select("*", F.posexplode_outer(columns).alias("sample_at", "_name")).withColumn(
+            "sample_text", F.get("sample_fields", F.col("sample_at"))
         )
     else:
         per_sample = records.withColumn("sample_at", _proband(sample)).withColumn(
