@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from locusflow.operators import evidence as ev
 from locusflow.operators.combine import classify
@@ -41,7 +42,7 @@ class Knowledge:
     gene_terms: DataFrame
 
 
-def annotate(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, carried: bool = False) -> DataFrame:
+def annotate(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, carried: bool = False) -> ev.LocusJoins:
     """Everything the rarity and impact filters need, for all calls given.
 
     One salted exchange of the calls serves every store. With ``carried``, evidence in
@@ -74,8 +75,6 @@ def find_candidates(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, ca
 
 def _fill_predictors(joins: ev.LocusJoins, k: Knowledge) -> DataFrame:
     """Store scores only where INFO carried none; REVEL and CADD change over together."""
-    from pyspark.sql import functions as F
-
     names = ("am_pathogenicity", "am_class", "revel", "cadd_phred")
     joins.frame = joins.frame.withColumnsRenamed({n: f"own_{n}" for n in names})
     ev.join_missense(joins, k.missense)

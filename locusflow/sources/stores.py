@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.functions.clinical import asserts_pathogenic, known, review_stars  # noqa: F401
+from locusflow.functions.clinical import known, review_stars
 from locusflow.functions.info import info_map
 from locusflow.functions.keys import prefixed_contig
 from locusflow.functions.consequences import literal_map

@@ -63,12 +63,7 @@ def _(spark, d):
 
 @query(
     "FN8_minimal_allele",
-    """SELECT ref, alt, CASE WHEN length(alt) < length(ref) THEN '-' ELSE alt END AS minimal, count(*) AS n
-       FROM (SELECT ref, CASE WHEN substr(ref, 1, 1) = alt THEN alt ELSE alt END AS alt FROM calls) x
-       GROUP BY ref, alt, CASE WHEN length(alt) < length(ref) THEN '-' ELSE alt END
-       HAVING true""".replace(
-        "CASE WHEN length(alt) < length(ref) THEN '-' ELSE alt END", "CASE WHEN substr(ref, 1, 1) = alt THEN '-' ELSE alt END"
-    ).replace("CASE WHEN substr(ref, 1, 1) = alt THEN alt ELSE alt END AS alt", "alt"),
+    "SELECT ref, alt, CASE WHEN substr(ref, 1, 1) = alt THEN '-' ELSE alt END AS minimal, count(*) AS n FROM calls GROUP BY ALL",
 )
 def _(spark, d):
     return (
