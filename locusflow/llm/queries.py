@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, topk_search
+from locusflow.llm import chat_format, minhash_dedup, topk_search
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -70,3 +70,8 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(extra)))
+
+
+@registered("op9_minhash_dedup")
+def minhash_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
