@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, minhash_dedup, topk_search
+from locusflow.llm import chat_format, decontaminate, minhash_dedup, topk_search
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -75,3 +75,36 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op9_minhash_dedup")
 def minhash_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+DECONTAMINATE = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce("text", ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce("text", ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i,
+    unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT r, i, n, item_id FROM places JOIN windows USING (n, win)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(p) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@registered("op1_decontaminate", DECONTAMINATE)
+def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
