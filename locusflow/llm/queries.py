@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, decontaminate, minhash_dedup, topk_search
+from locusflow.llm import chat_format, decontaminate, minhash_dedup, piece_codec, topk_search
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -108,3 +108,8 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 @registered("op1_decontaminate", DECONTAMINATE)
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op8_sentencepiece")
+def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.token_report(table(spark, sf_dir, "documents"))
