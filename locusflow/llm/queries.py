@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, decontaminate, minhash_dedup, piece_codec, topk_search
+from locusflow.llm import chat_format, decontaminate, language_crf, minhash_dedup, piece_codec, topk_search
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -113,3 +113,12 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op8_sentencepiece")
 def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_report(table(spark, sf_dir, "documents"))
+
+
+@registered("op3_language_crf")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = language_crf.identify(documents, language_crf.training_model(documents))
+    return labelled.select(
+        "doc_id", "held_out", "lang_pred", "score", "n_words", F.size("runs").cast("long").alias("n_runs")
+    )
