@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, decontaminate, language_crf, minhash_dedup, piece_codec, topk_search
+from locusflow.llm import chat_format, decontaminate, language_crf, minhash_dedup, piece_codec, topk_search, toxicity
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -122,3 +122,9 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select(
         "doc_id", "held_out", "lang_pred", "score", "n_words", F.size("runs").cast("long").alias("n_runs")
     )
+
+
+@registered("op5_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(documents, toxicity.training_model(documents, table(spark, sf_dir, "labels")))
