@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, decontaminate, language_crf, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
+from locusflow.llm import chat_format, decontaminate, html_text, language_crf, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -134,3 +134,8 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality_mil.quality(documents, quality_mil.training_model(documents, table(spark, sf_dir, "labels")))
+
+
+@registered("op4_html_text")
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
