@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import chat_format, decontaminate, html_text, language_crf, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
+from locusflow.llm import chat_format, decontaminate, html_text, language_crf, lm_scoring, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -139,3 +139,8 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op4_html_text")
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@registered("op2_lm_scoring")
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
