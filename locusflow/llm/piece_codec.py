@@ -22,18 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusflow.llm.text import with_columns
 from locusflow.llm.words import mix, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a mark that is part of the text while words are cut; no text holds this code point.
 _ESCAPED = "\ud800"
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Characters that end a word when no piece of two or more characters holds them.
+_BREAKS = "\n\t"
 #: A byte piece costs so much more than the worst piece.
 BYTE_PENALTY = 10.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Characters encoded at once, unless one text alone is longer.
-PART_CHARS = 4_000_000
+PART_CHARS = 2_000_000
 _HINT_BITS = np.uint64((1 << 20) - 1)
 _P = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -50,6 +52,7 @@ class Pieces(NamedTuple):
     byte_ids: np.ndarray
     byte_score: float
     decoded: list[bytes]
+    word: str  # pattern of a word
 
 
 def _hash_ranges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +95,11 @@ def build(texts: list[tuple[str, int, float]], byte_ids: dict[int, int], size: i
         decoded[i] = bytes([value])
     hint = np.zeros(int(_HINT_BITS) + 1, dtype=bool)
     hint[keys & _HINT_BITS] = True
+    breaks = "".join(c for c in _BREAKS if not any(c in t for t in best if len(t) > 1))
+    word = f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|[{breaks}]" if breaks else "")
     return Pieces(
         keys[order], hint, ids[order], scores[order], max(by_length),
-        np.array([byte_ids[b] for b in range(256)], dtype=np.int32), float(scores.min()) - BYTE_PENALTY, decoded,
+        np.array([byte_ids[b] for b in range(256)], dtype=np.int32), float(scores.min()) - BYTE_PENALTY, decoded, word,
     )
 
 
@@ -196,7 +201,7 @@ class Encoder:
     """Encodes texts of one task, remembering a bounded number of words."""
 
     def __init__(self, pieces: Pieces, cached: int = CACHED_WORDS):
-        self.pieces, self.cached = pieces, cached
+        self.pieces, self.cached, self.word = pieces, cached, re.compile(pieces.word)
         self.forget()
 
     def forget(self) -> None:
@@ -222,7 +227,7 @@ class Encoder:
         self.start = np.cumsum(self.count) - self.count
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_WORD.findall(MARK + t.replace(MARK, _ESCAPED).replace(" ", MARK)) if t else [] for t in texts]
+        cut = [self.word.findall(MARK + t.replace(MARK, _ESCAPED).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.place) > self.cached:
             self.forget()
         new = set(chain.from_iterable(cut)).difference(self.place)
@@ -238,13 +243,7 @@ class Encoder:
 
 def decode(pieces: Pieces, ids) -> str:
     """The text of a sequence of ids; the leading space goes."""
-    return b"".join(map(pieces.decoded.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
-
-
-def _added(documents: DataFrame, *columns: tuple[str, T.DataType]) -> T.StructType:
-    names = {c for c, _ in columns}
-    kept = [f for f in documents.schema.fields if f.name not in names]
-    return T.StructType([*kept, *(T.StructField(c, t) for c, t in columns)])
+    return b"".join(map(pieces.decoded.__getitem__, np.asarray(ids).tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_texts(documents: DataFrame, pieces: Pieces) -> DataFrame:
@@ -254,40 +253,48 @@ def encode_texts(documents: DataFrame, pieces: Pieces) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(pieces)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         encoder = Encoder(shared.value)
-        for batch in batches:
-            texts = batch["text"].tolist()
+
+        def encode(texts: list[str | None]):
+            out = []
             for a, b in slices(texts, PART_CHARS):
-                part = batch.iloc[a:b].copy()
                 ids = encoder.encode([t or "" for t in texts[a:b]])
-                part["token_ids"] = pd.Series(
-                    [None if t is None else i for t, i in zip(texts[a:b], ids)], index=part.index, dtype=object
-                )
-                yield part
+                out += [None if t is None else i for t, i in zip(texts[a:b], ids)]
+            return [out]
+
+        return encode
 
-    kept = documents.drop("token_ids")
-    return kept.mapInPandas(encode, _added(documents, ("token_ids", T.ArrayType(T.IntegerType()))))
+    return with_columns(documents, compute, {"token_ids": T.ArrayType(T.IntegerType())})
 
 
 def decode_texts(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """All columns and rows, with ``decoded``, the text of ``token_ids``; null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
-    def decode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["decoded"] = [None if i is None else decode(shared.value, i) for i in batch["token_ids"]]
-            yield batch
+    def decode_all(ids: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None else decode(shared.value, i) for i in ids], dtype=object)
 
-    kept = encoded.drop("decoded")
-    return kept.mapInPandas(decode_all, _added(encoded, ("decoded", T.StringType())))
+    return encoded.withColumn("decoded", F.pandas_udf(decode_all, T.StringType())("token_ids"))
 
 
 def token_report(documents: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """One row per document: doc_id, token_ids, n_tokens, round_trip (decoding gives the text back)."""
-    pieces = load(model_file)
-    coded = decode_texts(encode_texts(documents.select("doc_id", "text"), pieces), pieces)
-    return coded.select(
-        "doc_id", "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    )
+    """One row per document: doc_id, token_ids, n_tokens, round_trip (decoding the ids gives the text back)."""
+    shared = documents.sparkSession.sparkContext.broadcast(load(model_file))
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, encoder = shared.value, Encoder(shared.value)
+        for batch in batches:
+            texts, doc_ids = batch["text"].tolist(), batch["doc_id"].to_numpy()
+            for a, b in slices(texts, PART_CHARS):
+                part = texts[a:b]
+                ids = encoder.encode([t or "" for t in part])
+                same = [t is None or decode(pieces, i) == t for t, i in zip(part, ids)]
+                held = [None if t is None else i for t, i in zip(part, ids)]
+                yield pd.DataFrame({
+                    "doc_id": doc_ids[a:b], "token_ids": pd.Series(held, dtype=object),
+                    "n_tokens": [len(i) for i in ids], "round_trip": same,
+                })
+
+    rows = documents.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInPandas(report, "doc_id bigint, token_ids array<int>, n_tokens bigint, round_trip boolean")

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import string
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from locusflow.operators.durable import durable
 
 
 def ascii_lower(text: Column) -> Column:
@@ -20,3 +27,34 @@ def bucket(key: Column, of: int) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_columns(documents: DataFrame, compute: Callable, columns: dict[str, T.DataType]) -> DataFrame:
+    """All rows and columns, and ``columns`` computed from batches of texts.
+
+    ``compute`` is called once a task and returns a function from a list of texts to one
+    list for each new column. Columns of the same names are replaced; all others pass
+    through as they are.
+    """
+    kept = documents.drop(*columns)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, t in columns.items())])
+    arrow = {c: to_arrow_type(t) for c, t in columns.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = compute()
+        for batch in batches:
+            found = work(batch.column("text").to_pylist())
+            added = [pa.array(values, type=arrow[c]) for c, values in zip(columns, found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *columns])
+
+    return kept.mapInArrow(run, schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        durable(spark.range(1))  # sets the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
