@@ -39,6 +39,7 @@ LEAST_SHARE, LEAST_RATIO = 0.01, 3.0
 CLEAR_GAIN = 11
 LEVEL = 3
 SAMPLE_EACH, SLICE_CHARS, CACHED_WORDS = 1200, 1_000_000, 500_000
+FOLDS = 4
 THRESHOLD = 0.3
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -140,15 +141,10 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     ).as_bytes()
 
 
-def fit(sample: pd.DataFrame, toxic_share: float | None = None) -> Model:
-    """Dictionaries from every other document of each label, calibration on the rest.
-
-    ``toxic_share`` is the share of label 1 among all labelled rows, which the sample evens out.
-    """
-    part = sample.groupby("label").cumcount() % 2
-    learned, rest = sample[part == 0], sample[part == 1]
-    toxic = _document_windows(learned[learned["label"] == 1]["text"].tolist())
-    plain = _document_windows(learned[learned["label"] == 0]["text"].tolist())
+def _dictionaries(sample: pd.DataFrame) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of labelled texts."""
+    toxic = _document_windows(sample[sample["label"] == 1]["text"].tolist())
+    plain = _document_windows(sample[sample["label"] == 0]["text"].tolist())
     ordinary = _trained([x for d in plain for x in sorted({x for _, x in d})], ORDINARY_BYTES)
     length = _compressor(ordinary)
     toxic_count, plain_count = (Counter(x for _, x in set().union(*documents)) for documents in (toxic, plain))
@@ -158,12 +154,24 @@ def fit(sample: pd.DataFrame, toxic_share: float | None = None) -> Model:
         if n >= 3 and share(n, toxic) >= max(LEAST_SHARE, LEAST_RATIO * share(plain_count[x], plain))
         and length(x) >= len(x) + FRAME - 4
     }
-    residual = [x for d in toxic for x in sorted({x for _, x in d} & special)]
-    model = Model(ordinary, _trained(residual, TOXIC_BYTES), np.zeros(6))
-    x = np.array([summary(g) for g in Gains(*model[:2]).texts(rest["text"].tolist())]).reshape(len(rest), 5)
-    weights = fit_logistic(x, rest["label"].to_numpy(dtype=float))
-    weights[-1] += prior_shift(rest["label"], toxic_share)
-    return model._replace(weights=weights)
+    return ordinary, _trained([x for d in toxic for x in sorted({x for _, x in d} & special)], TOXIC_BYTES)
+
+
+def fit(sample: pd.DataFrame, toxic_share: float | None = None) -> Model:
+    """Dictionaries from all of the sample; the curve from gains of each fold under dictionaries of the others.
+
+    ``toxic_share`` is the share of label 1 among all labelled rows, which the sample evens out.
+    """
+    fold = sample.groupby("label").cumcount() % FOLDS
+    x, y = [np.zeros((0, 5))], [np.zeros(0)]
+    for part in range(FOLDS):
+        rest = sample[fold == part]
+        gains = Gains(*_dictionaries(sample[fold != part]))
+        x.append(np.array([summary(g) for g in gains.texts(rest["text"].tolist())]).reshape(len(rest), 5))
+        y.append(rest["label"].to_numpy(dtype=float))
+    weights = fit_logistic(np.concatenate(x), np.concatenate(y))
+    weights[-1] += prior_shift(sample["label"], toxic_share)
+    return Model(*_dictionaries(sample), weights)
 
 
 def training_model(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Model:
