@@ -16,7 +16,7 @@ from locusflow.functions.clinical import (
     tier_class,
     truth_class,
 )
-from locusflow.functions.keys import LOCUS, locus_from_key
+from locusflow.functions.keys import LOCUS, locus_from_key, prefixed_contig
 from locusflow.operators.ranking import position_in_group, top_per_group
 from locusflow.operators.routing import OUTCOMES, outcome_rank, tier_rank
 
@@ -238,13 +238,15 @@ def plan_modes(alleles: DataFrame) -> DataFrame:
 
 
 def unused_cases(cases: DataFrame, used: DataFrame) -> DataFrame:
-    """Cases whose gene and coordinate were both not used before."""
+    """Cases whose gene and coordinate were both not used before; contigs match with or without prefix."""
     genes = used.select(F.upper("gene").alias("_gene")).distinct()
-    loci = used.select("chrom", "pos", F.upper("ref").alias("_ref"), F.upper("alt").alias("_alt")).distinct()
+    loci = used.select(
+        prefixed_contig(c("chrom")).alias("_chrom"), "pos", F.upper("ref").alias("_ref"), F.upper("alt").alias("_alt")
+    ).distinct()
     fresh = cases.join(genes, F.upper(cases["gene"]) == c("_gene"), "left_anti")
     return fresh.join(
         loci,
-        (fresh["chrom"] == loci["chrom"]) & (fresh["pos"] == loci["pos"])
+        (prefixed_contig(fresh["chrom"]) == c("_chrom")) & (fresh["pos"] == loci["pos"])
         & (F.upper(fresh["ref"]) == c("_ref")) & (F.upper(fresh["alt"]) == c("_alt")),
         "left_anti",
     )

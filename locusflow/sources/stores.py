@@ -50,11 +50,17 @@ def frequency_sites(lines: DataFrame, preset: str = "joint", pass_only: bool = T
     )
 
 
-def assertion_records(lines: DataFrame, condition_chars: int = 120) -> DataFrame:
-    """Clinical-assertion VCF lines with a significance, one row per record."""
+def assertion_records(lines: DataFrame, condition_chars: int | None = None) -> DataFrame:
+    """Clinical-assertion VCF lines with a significance, one row per record.
+
+    The condition is the whole text; ``condition_chars`` cuts it where a caller asks for that.
+    """
     field = lambda key: F.translate(
         F.regexp_extract("info_text", f"(?:^|;){key}=([^;]+)", 1), "_", " "
     )
+    condition = field("CLNDN")
+    if condition_chars is not None:
+        condition = F.substring(condition, 1, condition_chars)
     return (
         parse_records(lines)
         .select(
@@ -65,7 +71,7 @@ def assertion_records(lines: DataFrame, condition_chars: int = 120) -> DataFrame
             field("CLNSIG").alias("significance"),
             field("CLNREVSTAT").alias("review_status"),
             F.coalesce("variant_id", F.lit(".")).alias("accession"),
-            F.substring(field("CLNDN"), 1, condition_chars).alias("condition"),
+            condition.alias("condition"),
             "line_no",
         )
         .where((F.col("significance") != "") & (F.col("alt") != "."))

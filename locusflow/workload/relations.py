@@ -179,13 +179,8 @@ def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Temporary views over the tables of one folder, by table name."""
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
     views = {t: f"{t}_{tag}" for t in TABLES}
-    cores = spark.sparkContext.defaultParallelism
     for table, view in views.items():
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        # A table with fewer file splits than cores would be worked on by a few tasks only.
-        if rows.rdd.getNumPartitions() < cores:
-            rows = rows.repartition(cores)
-        rows.createOrReplaceTempView(view)
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(view)
     return views
 
 
