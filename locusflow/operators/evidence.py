@@ -257,9 +257,13 @@ COORDINATE_EVIDENCE = [
 def trust_build(annotated: DataFrame, build: str = "build") -> DataFrame:
     """Drop coordinate evidence where the file declares another genome build.
 
-    An undeclared build is trusted; ``build_warning`` marks both cases.
+    An undeclared build is trusted; ``build_warning`` marks both cases, and evidence that
+    is dropped has no source.
     """
     trusted = F.col(build).isNull() | (F.col(build) == GENOME_BUILD)
     warning = F.when(F.col(build).isNull(), "undeclared").when(~trusted, "mismatch")
     blanked = {c: F.when(trusted, F.col(c)) for c in COORDINATE_EVIDENCE if c in annotated.columns}
+    if "evidence_source" in annotated.columns:
+        nowhere = F.transform_values("evidence_source", lambda _, source: F.lit("none"))
+        blanked["evidence_source"] = F.when(trusted, F.col("evidence_source")).otherwise(nowhere)
     return annotated.withColumns({**blanked, "build_warning": warning})

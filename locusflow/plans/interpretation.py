@@ -53,10 +53,15 @@ def annotate(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, carried:
     ev.join_assertions(joins, k.assertions)
     ev.join_local_frequency(joins, k.local_frequency)
     resolved = ev.resolve_frequency(joins.frame, k.coverage)
-    joins.frame = ev.prefer_carried(resolved) if carried else resolved
+    joins.frame = _trusted(ev.prefer_carried(resolved) if carried else resolved)
     return joins
 
 
+def _trusted(frame: DataFrame) -> DataFrame:
+    """No coordinate evidence for calls from a file of another genome build, where the build is known."""
+    return ev.trust_build(frame) if "build" in frame.columns else frame
+
+
 def find_candidates(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, carried: bool = False) -> DataFrame:
     """Passing calls that are rare and have impact, with predictor scores added last.
 
@@ -67,10 +72,10 @@ def find_candidates(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, ca
     joins.frame = candidates(joins.frame, t)
     own = {x: joins.frame[x] for x in ("am_pathogenicity", "am_class", "revel", "cadd_phred") if x in joins.frame.columns}
     if own:
-        return _fill_predictors(joins, k)
+        return _trusted(_fill_predictors(joins, k))
     ev.join_missense(joins, k.missense)
     ev.join_predictors(joins, k.predictors)
-    return joins.done()
+    return _trusted(joins.done())
 
 
 def _fill_predictors(joins: ev.LocusJoins, k: Knowledge) -> DataFrame:
@@ -82,7 +87,17 @@ def _fill_predictors(joins: ev.LocusJoins, k: Knowledge) -> DataFrame:
     keep_am = F.col("own_am_pathogenicity").isNotNull()
     keep_pair = F.col("own_revel").isNotNull() | F.col("own_cadd_phred").isNotNull()
     chosen = {n: F.when(keep_am if n.startswith("am_") else keep_pair, F.col(f"own_{n}")).otherwise(F.col(n)) for n in names}
-    return joins.done().withColumns(chosen).drop(*[f"own_{n}" for n in names])
+    filled = joins.done().withColumns(chosen).drop(*[f"own_{n}" for n in names])
+    if "evidence_source" not in filled.columns:
+        return filled
+    stored = {
+        "missense": F.col("am_pathogenicity").isNotNull(),
+        "insilico": F.col("revel").isNotNull() | F.col("cadd_phred").isNotNull(),
+    }
+    source = lambda name, held: F.when(
+        (held == "none") & (((name == "missense") & stored["missense"]) | ((name == "insilico") & stored["insilico"])), "store"
+    ).otherwise(held)
+    return filled.withColumn("evidence_source", F.transform_values("evidence_source", source))
 
 
 def classify_candidates(

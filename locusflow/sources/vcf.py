@@ -173,5 +173,5 @@ def parse_calls(lines: DataFrame, sample: str | None = None, all_samples: bool =
         "chrom", "pos", "ref", "alt",
         *[F.col(f"effect.{f}").alias(f) for f in FIELDS],
         "metrics.zygosity", "metrics.depth", "metrics.gq", "metrics.allele_balance",
-        "filter_status", "variant_id", "n_alts", "alt_index", "info",
+        "filter_status", "variant_id", "n_alts", "alt_index", "info", "build",
     )
