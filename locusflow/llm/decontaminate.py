@@ -129,7 +129,7 @@ def _bytes(df: DataFrame) -> int:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key (hash of the text).
 
     Null and empty texts have no words and are clean; items without words or id have no
     windows; items repeat freely. Equal rows give equal results, one each. Windows that
@@ -170,7 +170,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: in
         .select(
             "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-            (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.array_repeat(F.lit(1), F.col("rows"))).alias("_row"),
+            (F.col("n_hit") > 0).alias("contaminated"), "key", F.explode(F.array_repeat(F.lit(1), F.col("rows"))).alias("_row"),
         )
         .drop("_row")
     )
@@ -188,3 +188,10 @@ def _found_by_shuffle(docs: DataFrame, prefix: DataFrame, sizes: list[int], star
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key"))
     checked = texts.join(hits.alias("h"), same).drop(F.col("h.doc_id")).drop(F.col("h.key")).where(_same_words())
     return lead.union(checked.select(*names))
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark window, with all their columns."""
+    hit = contaminated(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), "key").distinct()
+    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("key"))
+    return documents.join(hit, same, "left_anti")

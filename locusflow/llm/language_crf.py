@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusflow.llm.samples import labelled_texts
-from locusflow.llm.text import bucket
+from locusflow.llm.text import bucket, with_columns
 from locusflow.llm.words import Words, range_hash, running_hash, slices, words_of
 
 AFFIXES = (1, 2, 3, 4)
@@ -89,7 +90,7 @@ def emissions(model: Crf, f: Features) -> np.ndarray:
 def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Label probabilities of every word. Text i has words first[i] : first[i + 1]; all starts are alike."""
     n, labels = scores.shape
-    if n == 0:
+    if n == 0 or labels == 0:
         return scores
     a = np.exp(transition - transition.max())
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -143,9 +144,8 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, blo
     return out
 
 
-def _training_rows(sample: pd.DataFrame, labels: list[str], rng: np.random.Generator) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the sample, and for every training sequence its words and labels."""
-    w = words_of(sample["text"].tolist())
+def _training_rows(sample: pd.DataFrame, w: Words, labels: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The words and labels of every training sequence."""
     held = {i: np.flatnonzero((sample["label"] == name).to_numpy() & (np.diff(w.first) > 0)) for i, name in enumerate(labels)}
     held = {i: d for i, d in held.items() if len(d)}
     names = list(held)
@@ -162,7 +162,7 @@ def _training_rows(sample: pd.DataFrame, labels: list[str], rng: np.random.Gener
                 word, end = rng.integers(w.first[text], w.first[text + 1]), w.first[text + 1]
             rows[s, t], path[s, t] = word, label
             word += 1
-    return w, rows, path
+    return rows, path
 
 
 def fit(sample: pd.DataFrame, epochs: int = 4, batch: int = 200, rate: float = 0.3, decay: float = 1e-4) -> Crf:
@@ -171,7 +171,7 @@ def fit(sample: pd.DataFrame, epochs: int = 4, batch: int = 200, rate: float = 0
     n, rng = len(labels), np.random.default_rng(7)
     if not n:
         return Crf([], np.zeros(1, np.uint64), np.zeros((2 * len(AFFIXES), TABLE, 0)), np.zeros((2, 0)), np.zeros((TABLE, 0)), np.zeros((0, 0)))
-    w, rows, path = _training_rows(sample, labels, rng) if len(sample) else (None, None, None)
+    w = words_of(sample["text"].tolist())
     seen, count = np.unique(w.hash, return_counts=True)
     lexicon = np.sort(seen[np.argsort(-count, kind="stable")[:LEXICON_WORDS]])
     if not len(lexicon):
@@ -182,6 +182,7 @@ def fit(sample: pd.DataFrame, epochs: int = 4, batch: int = 200, rate: float = 0
     )
     if n == 1 or not len(w.hash):
         return model
+    rows, path = _training_rows(sample, w, labels, rng)
     f = features(w, lexicon)
     tables = [*model.affix, model.word, model.trigram, model.transition]
     gathered = [np.full_like(t, 1e-3) for t in tables]
@@ -287,3 +288,21 @@ def identify(documents: DataFrame, model: Crf, runs: bool = True) -> DataFrame:
             yield found
 
     return rows.mapInPandas(label, RESULT)
+
+
+def with_language(documents: DataFrame, model: Crf) -> DataFrame:
+    """All rows and columns, with ``lang_pred`` and ``lang_score`` as ``identify`` gives them."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def compute():
+        crf = shared.value
+
+        def label(texts: list[str | None]):
+            means = [mean for _, mean in label_words(crf, texts)]
+            real = [bool(len(m)) and m.any() and any(c.isalpha() for c in t or "") for t, m in zip(texts, means)]
+            names = [crf.labels[int(m.argmax())] if r else UNKNOWN for r, m in zip(real, means)]
+            return names, [min(float(m.max()), 1.0) if r else 0.0 for r, m in zip(real, means)]
+
+        return label
+
+    return with_columns(documents, compute, {"lang_pred": T.StringType(), "lang_score": T.DoubleType()})

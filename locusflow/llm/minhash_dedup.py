@@ -282,3 +282,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """The kept document of every component, with all its columns; of rows that share a ``doc_id``, one."""
+    found = durable(near_duplicates(documents, percent).where(F.col("doc_id").isNotNull()))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    repeated = durable(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    kept = documents.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again)

@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusflow.llm.logistic import prior_shift, sigmoid
 from locusflow.llm.samples import labelled_texts
-from locusflow.llm.text import bucket
+from locusflow.llm.text import bucket, with_columns
 from locusflow.llm.words import LOWER, mix, slices, words_of
 
 PASSAGE = 48
@@ -177,6 +178,16 @@ def training_model(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_E
     return fit(labelled_texts(documents, known.select("doc_id", F.col("quality").alias("label")), each), share)
 
 
+def text_scores(model: Mil, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of passages of every text."""
+    scores, counts = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+    for a, b in slices(texts, SLICE_CHARS):
+        x, first = passages(texts[a:b])
+        scores.append(forward(model, x, first)[-1])
+        counts.append(np.diff(first))
+    return np.concatenate(scores), np.concatenate(counts)
+
+
 def quality(documents: DataFrame, model: Mil) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (score >= THRESHOLD), n_passages.
 
@@ -188,15 +199,16 @@ def quality(documents: DataFrame, model: Mil) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, scores, counts = batch["text"].tolist(), [], []
-            for a, b in slices(texts, SLICE_CHARS):
-                x, first = passages(texts[a:b])
-                scores.append(forward(shared.value, x, first)[-1])
-                counts.append(np.diff(first))
             out = batch[["doc_id", "held_out"]].copy()
-            out["score"] = np.concatenate(scores) if scores else np.zeros(0)
+            out["score"], out["n_passages"] = text_scores(shared.value, batch["text"].tolist())
             out["predicted"] = (out["score"] >= THRESHOLD).astype("int32")
-            out["n_passages"] = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
             yield out
 
     return rows.mapInPandas(score, RESULT)
+
+
+def with_quality(documents: DataFrame, model: Mil) -> DataFrame:
+    """All rows and columns, with ``quality_score``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    compute = lambda: lambda texts: [text_scores(shared.value, texts)[0]]
+    return with_columns(documents, compute, {"quality_score": T.DoubleType()})

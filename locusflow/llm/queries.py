@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL, run
 from locusflow.llm import chat_format, decontaminate, html_text, language_crf, lm_scoring, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
 from locusflow.llm.text import table
 
@@ -107,7 +108,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 @registered("op1_decontaminate", DECONTAMINATE)
 def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 @registered("op8_sentencepiece")
@@ -144,3 +145,6 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op2_lm_scoring")
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+registered("pipeline", ORACLE_SQL)(run)
