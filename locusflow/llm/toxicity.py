@@ -7,7 +7,7 @@ is the bytes that the toxic dictionary saves over the ordinary one. A logistic c
 a text's gains, calibrated on documents that neither dictionary has seen, gives the score.
 
 Most words of a toxic document are ordinary. The toxic dictionary is therefore trained on
-those windows of toxic documents that the ordinary dictionary cannot compress and that
+those windows of toxic documents that the ordinary dictionary hardly compresses and that
 recur in toxic documents more often than in ordinary ones.
 """
 
@@ -35,8 +35,11 @@ ORDINARY_BYTES, TOXIC_BYTES, SEGMENT = 65_536, 16_384, 32
 #: A toxic training window follows different windows in toxic documents for at least this share of them,
 #: and so many times as often as in ordinary ones. Copies of a document or passage count once.
 LEAST_SHARE, LEAST_RATIO = 0.01, 3.0
-#: A gain that random likeness rarely reaches.
-CLEAR_GAIN = 11
+#: The ordinary dictionary leaves so much of its length.
+MOSTLY_NEW = 0.5
+#: A gain that random likeness rarely reaches, and one that it reaches less often than toxic text.
+CLEAR_GAIN, SOME_GAIN = 11, 6
+FEATURES = 7
 LEVEL = 3
 SAMPLE_EACH, SLICE_CHARS, CACHED_WORDS = 1200, 1_000_000, 500_000
 FOLDS = 4
@@ -113,8 +116,10 @@ class Gains:
 def summary(gains: np.ndarray) -> list[float]:
     """What the score depends on: how often, how far and how densely windows pass the clear gain."""
     over = np.maximum(gains - CLEAR_GAIN + 1, 0)
+    some = np.maximum(gains - SOME_GAIN + 1, 0)
     n = max(len(gains), 1)
     return [
+        np.log1p(1000 * (some > 0).sum() / n), np.log1p(100 * some.sum() / n),
         np.log1p(over.sum()), np.log1p(1000 * (over > 0).sum() / n), np.log1p(100 * over.sum() / n),
         gains.max(initial=0) / 10, np.log1p((over > 0).sum()),
     ]
@@ -152,7 +157,7 @@ def _dictionaries(sample: pd.DataFrame) -> tuple[bytes, bytes]:
     special = {
         x for x, n in toxic_count.items()
         if n >= 3 and share(n, toxic) >= max(LEAST_SHARE, LEAST_RATIO * share(plain_count[x], plain))
-        and length(x) >= len(x) + FRAME - 4
+        and length(x) - FRAME >= MOSTLY_NEW * len(x)
     }
     return ordinary, _trained([x for d in toxic for x in sorted({x for _, x in d} & special)], TOXIC_BYTES)
 
@@ -163,11 +168,11 @@ def fit(sample: pd.DataFrame, toxic_share: float | None = None) -> Model:
     ``toxic_share`` is the share of label 1 among all labelled rows, which the sample evens out.
     """
     fold = sample.groupby("label").cumcount() % FOLDS
-    x, y = [np.zeros((0, 5))], [np.zeros(0)]
+    x, y = [np.zeros((0, FEATURES))], [np.zeros(0)]
     for part in range(FOLDS):
         rest = sample[fold == part]
         gains = Gains(*_dictionaries(sample[fold != part]))
-        x.append(np.array([summary(g) for g in gains.texts(rest["text"].tolist())]).reshape(len(rest), 5))
+        x.append(np.array([summary(g) for g in gains.texts(rest["text"].tolist())]).reshape(len(rest), FEATURES))
         y.append(rest["label"].to_numpy(dtype=float))
     weights = fit_logistic(np.concatenate(x), np.concatenate(y))
     weights[-1] += prior_shift(sample["label"], toxic_share)
@@ -194,7 +199,7 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         gains = Gains(own.ordinary, own.toxic)
         for batch in batches:
-            x = np.array([summary(g) for g in gains.texts(batch["text"].tolist())]).reshape(len(batch), 5)
+            x = np.array([summary(g) for g in gains.texts(batch["text"].tolist())]).reshape(len(batch), FEATURES)
             out = batch[["doc_id", "held_out"]].copy()
             out["score"] = score_logistic(own.weights, x)
             out["predicted"] = (out["score"] >= THRESHOLD).astype("int32")
