@@ -39,3 +39,47 @@ def near_duplicates(rows, percent=85):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contaminated(texts, items, window=10):
+    """[(n_words, n_hit, item ids)] for each text; items of (item_id, text)."""
+    windows = {}
+    for item, text in items:
+        words = ITEM_WORD.findall(lower(text))
+        for i in range(max(len(words) - window + 1, 1) if words else 0):
+            windows.setdefault(tuple(words[i : i + window]), set()).add(str(item))
+    out = []
+    for text in texts:
+        words, hit, named = ITEM_WORD.findall(lower(text)), set(), set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(words) - size + 1):
+                found = windows.get(tuple(words[i : i + size]))
+                if found:
+                    hit.update(range(i, i + size))
+                    named |= found
+        out.append((len(words), len(hit), sorted(named)))
+    return out
+
+
+def top_k(vectors, queries, k):
+    """{query_id: [(score, vec_id)]}; dictionaries of id to integers."""
+    out = {}
+    for q, x in queries.items():
+        scored = [(-sum(a * b for a, b in zip(x, y)), v) for v, y in vectors.items() if v != q and len(x) == len(y)]
+        if scored:
+            out[q] = [(-s, v) for s, v in sorted(scored)[:k]]
+    return out
+
+
+def best_score(word, pieces, byte_score):
+    """The largest total score of a segmentation of ``word`` into ``pieces`` (text to score) and bytes."""
+    best = [0.0] + [float("-inf")] * len(word)
+    for end in range(1, len(word) + 1):
+        best[end] = best[end - 1] + byte_score * len(word[end - 1].encode())
+        for start in range(end):
+            if word[start:end] in pieces:
+                best[end] = max(best[end], best[start] + pieces[word[start:end]])
+    return best[-1]
