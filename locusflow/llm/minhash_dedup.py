@@ -12,7 +12,8 @@ full sets.
 Large groups never become all pairs. Neighbours in differently sorted posting lists are
 confirmed first and joined into components; then only lists that still mix components are
 read, and only pairs across components, one side outside the list's most frequent
-component. A pair within a component cannot change the result.
+component. A pair within a component cannot change the result. Shingles that a set of a
+long list shares with no other thin that list before it is joined.
 """
 
 from __future__ import annotations
@@ -29,26 +30,31 @@ from locusflow.llm.words import mix, slices, words_of
 from locusflow.operators.durable import durable
 
 SHINGLE = 5
-COORDINATES = 128
-#: At similarity 0.85 a pair has 108.8 equal coordinates on average, with deviation 4.04: fewer
-#: than 86 happens to one pair in 10 million.
-MATCHES = 86
+#: Coordinates that become tokens, and those whose low bits form the sketch.
+COORDINATES, SKETCHED = 32, 128
+#: At similarity 0.85 a pair has 27.2 equal coordinates of 32 on average: fewer than 16 happens
+#: to one pair in 1.7 million.
+MATCHES = 16
 PREFIX = COORDINATES - MATCHES + 1
 #: Unequal coordinates still agree on one bit half of the time: at similarity 0.85 a pair has
-#: 9.6 unequal bits on average; more than 28 happens to one pair in 10 million.
+#: 9.6 unequal bits of 128 on average; more than 28 happens to one pair in 15 million.
 UNEQUAL_BITS = 28
 #: Counters of the token frequency sketch. It only orders tokens, so sharing a counter costs time, not pairs.
-SKETCH = 1 << 18
-#: Neighbours of a set that are confirmed before the exact pass.
-NEAREST = 3
+COUNTERS = 1 << 18
+#: Before the exact pass: how far apart neighbours stand in a list, how many of a set are confirmed, and how often.
+BESIDE, NEAREST, NEAR_ROUNDS = 16, 12, 2
+#: Posting lists of so many rows get exact bounds before they are joined: shingles that no other set of such
+#: lists has, and bit maps of so many 64-bit words.
+LONG, MAP_WORDS = 50, 16
+#: Up to so many ids of candidates are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_FACTOR = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64)
+_FACTOR = _rng.integers(1, 1 << 62, SKETCHED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _rng.integers(1, 1 << 62, SKETCHED, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>, b1 bigint, b2 bigint"
-POSTED = "token bigint, id bigint, n bigint, b1 bigint, b2 bigint"
 
 
 def shingle_hashes(word_hash: np.ndarray) -> np.ndarray:
@@ -71,14 +77,14 @@ def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    best = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    best = np.full(SKETCHED, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(best, (hashes[at : at + 2048, None] * _FACTOR + _SHIFT).min(axis=0), out=best)
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
 def low_bits(sig: np.ndarray) -> np.ndarray:
-    """(n, 2) 64-bit words of one bit for each of the (n, COORDINATES) values."""
+    """(n, 2) 64-bit words of one bit for each of the (n, SKETCHED) values."""
     bits = (mix(sig.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64).reshape(len(sig), 2)
 
@@ -91,7 +97,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 d1, d2 = (int(mix(hashes + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (1, 1 << 40))
                 sig = signature(hashes)
                 b1, b2 = low_bits(sig[None])[0]
-                rows.append((len(hashes), d1, d2, sig.view(np.int32), int(b1), int(b2)))
+                rows.append((len(hashes), d1, d2, sig[:COORDINATES].view(np.int32), int(b1), int(b2)))
             else:
                 rows.append((0, 0, 0, None, 0, 0))
         out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "sig", "b1", "b2"])
@@ -105,45 +111,61 @@ def _tokens(sig: pd.Series) -> np.ndarray:
 
 
 def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) % np.uint64(SKETCH)).astype(np.int64)
+    return (mix(tokens) % np.uint64(COUNTERS)).astype(np.int64)
 
 
 def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts = np.zeros(COUNTERS, dtype=np.int64)
     for batch in batches:
         if len(batch):
-            counts += np.bincount(_counter(_tokens(batch["sig"])).ravel(), minlength=SKETCH)
+            counts += np.bincount(_counter(_tokens(batch["sig"])).ravel(), minlength=COUNTERS)
     at = np.flatnonzero(counts)
     yield pd.DataFrame({"counter": at, "n": counts[at]})
 
 
 def token_counts(sets: DataFrame) -> np.ndarray:
-    """The frequency sketch over all sets: SKETCH numbers whatever the input's size."""
+    """The frequency sketch over all sets: COUNTERS numbers whatever the input's size."""
     parts = sets.select("sig").mapInPandas(_count_tokens, "counter bigint, n bigint")
     summed = parts.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts = np.zeros(COUNTERS, dtype=np.int64)
     counts[summed["counter"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=np.int64)
     return counts
 
 
-def postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, id, n, b1, b2) for the PREFIX rarest tokens of every set."""
+def _rarest(sig: pd.Series, counts: np.ndarray) -> np.ndarray:
+    tokens = np.sort(_tokens(sig), axis=1)
+    rarest = np.argsort(counts[_counter(tokens)], axis=1, kind="stable")[:, :PREFIX]
+    return np.take_along_axis(tokens, rarest, axis=1).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, tokens): every set's posted tokens."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def list_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"], "tokens": list(_rarest(batch["sig"], shared.value))})
+
+    return sets.select("id", "sig").mapInPandas(list_tokens, "id bigint, tokens array<bigint>")
+
+
+def postings(sets: DataFrame, counts: np.ndarray, *carried: str) -> DataFrame:
+    """(token, id, n, b1, b2, carried) for the PREFIX rarest tokens of every set."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
+    names = ["id", "n", "b1", "b2", *carried]
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                tokens = _tokens(part["sig"])
-                order = np.argsort(tokens, axis=1)
-                tokens = np.take_along_axis(tokens, order, axis=1)
-                rarest = np.argsort(shared.value[_counter(tokens)], axis=1, kind="stable")[:, :PREFIX]
+                tokens = _rarest(part["sig"], shared.value)
                 yield pd.DataFrame(
-                    {"token": np.take_along_axis(tokens, rarest, axis=1).ravel().astype(np.int64)}
-                    | {c: np.repeat(part[c].to_numpy(), PREFIX) for c in ("id", "n", "b1", "b2")}
+                    {"token": tokens.ravel()} | {c: np.repeat(part[c].to_numpy(), PREFIX) for c in names}
                 )
 
-    return sets.select("id", "n", "b1", "b2", "sig").mapInPandas(post, POSTED)
+    schema = ", ".join(f"{c} bigint" for c in ["token", *names])
+    return sets.select(*names, "sig").mapInPandas(post, schema)
 
 
 def _unequal(x: str, y: str) -> Column:
@@ -155,72 +177,130 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return sizes & (_unequal(x, y) <= UNEQUAL_BITS)
 
 
-def _beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of rows one or two places apart in a posting list; rows come sorted."""
-    last = None
-    for batch in batches:
-        held = batch if last is None else pd.concat([last, batch], ignore_index=True)
-        last = held.iloc[-2:]
-        out = []
-        for step in (1, 2):
-            x, y = held.iloc[:-step].reset_index(drop=True), held.iloc[step:].reset_index(drop=True)
-            if len(x):
-                same = (x["token"] == y["token"]) & (x["id"] != y["id"])
-                pair = {"a": x["id"], "b": y["id"]}
-                pair |= {f"{c}_{s}": f[c] for s, f in (("x", x), ("y", y)) for c in ("n", "b1", "b2")}
-                out.append(pd.DataFrame(pair)[same])
-        if out:
-            yield pd.concat(out)
+def _beside(percent: int):
+    """Pairs of rows of different components, at most BESIDE places apart in a posting list, that may be linked."""
 
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            held = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            last = held.iloc[-BESIDE:]
+            token, ident, n, b1, b2, c = (held[k].to_numpy() for k in ("token", "id", "n", "b1", "b2", "c"))
+            for step in range(1, min(BESIDE, len(held) - 1) + 1):
+                unequal = np.bitwise_count(b1[:-step] ^ b1[step:]).astype(np.int64) + np.bitwise_count(b2[:-step] ^ b2[step:])
+                near = (token[:-step] == token[step:]) & (c[:-step] != c[step:]) & (unequal <= UNEQUAL_BITS)
+                near &= 100 * np.minimum(n[:-step], n[step:]) >= percent * np.maximum(n[:-step], n[step:])
+                x, y = ident[:-step][near], ident[step:][near]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "unequal": unequal[near]})
 
-BESIDE = "a bigint, b bigint, n_x bigint, b1_x bigint, b2_x bigint, n_y bigint, b1_y bigint, b2_y bigint"
+    return pairs
 
 
-def neighbours(posted: DataFrame, percent: int) -> DataFrame:
+def neighbours(posted: DataFrame, percent: int, round_: int) -> DataFrame:
     """For every set its NEAREST most similar neighbours among those beside it in posting lists.
 
-    Lists are ordered by the sketch bits, turned by a number that differs by token, and
-    range-partitioned, so a long list is many tasks. Pairs across partitions are left to
-    the exact pass.
+    Sets of one component are no neighbours. Lists are ordered by the sketch bits, turned
+    by a number that differs by token and round, and range-partitioned, so a long list is
+    many tasks. Pairs across partitions are left to the exact pass.
     """
-    turn = "cast(token % 61 AS INT)"
+    turn = f"cast((token * 7 + {17 * round_}) % 61 AS INT)"
     turned = F.expr(f"shiftleft(b1, {turn}) | shiftrightunsigned(b1, 64 - {turn})")
-    beside = (
+    near = (
         posted.withColumn("turned", turned)
         .repartitionByRange("token", "turned", "id")
         .sortWithinPartitions("token", "turned", "id")
-        .mapInPandas(_beside, BESIDE)
-    )
-    unequal = F.expr("bit_count(b1_x ^ b1_y) + bit_count(b2_x ^ b2_y)")
-    near = (
-        beside.where(F.expr(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"))
-        .withColumn("unequal", unequal)
-        .where(F.col("unequal") <= UNEQUAL_BITS)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "unequal")
+        .mapInPandas(_beside(percent), "a bigint, b bigint, unequal bigint")
         .distinct()
     )
+    either = near.union(near.select("b", "a", "unequal"))
     best = Window.partitionBy("a").orderBy("unequal", "b")
-    return near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= NEAREST).select("a", "b")
+    kept = either.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= NEAREST)
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across_components(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posting list that lie in different components and may be linked."""
-    labelled = posted.join(labels, posted["id"] == labels["node"], "left").select(
-        "token", "id", "n", "b1", "b2", F.coalesce("component", "id").alias("c")
-    )
-    per_component = labelled.groupBy("token", "c").agg(F.count("*").alias("rows"))
+def _set_bounds(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, rare, m0, m1, ...): what bounds the shingles two sets of ``ids`` can share.
+
+    ``rare`` counts a set's shingles that occur in no other set of ``ids``. The words m0, m1
+    ... are a bit map of its shingles: a bit of x that y lacks is a shingle of x that y
+    lacks. Ids that stand on several rows get none.
+    """
+    found = picked(texts, ids)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            owner, held = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for a, b in slices(held):
+                sets = list(sets_of(held[a:b]))
+                owners = np.repeat(owner[a:b], [len(x) for x in sets])
+                yield pd.DataFrame({"gram": np.concatenate(sets).view(np.int64), "id": owners})
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.zeros((len(batch), 64 * MAP_WORDS), dtype=np.uint8)
+            for i, hashes in enumerate(sets_of(batch["text"].tolist())):
+                bits[i, (hashes >> np.uint64(20)) % np.uint64(64 * MAP_WORDS)] = 1
+            words = np.packbits(bits, axis=1).view(np.int64).reshape(len(batch), MAP_WORDS)
+            yield pd.DataFrame({"id": batch["doc_id"].to_numpy()} | {f"m{i}": words[:, i] for i in range(MAP_WORDS)})
+
+    listed = found.mapInPandas(grams, "gram bigint, id bigint")
+    alone = listed.groupBy("gram").agg(F.count("*").alias("held"), F.min("id").alias("id")).where("held = 1")
+    rare = alone.groupBy("id").agg(F.count("*").alias("rare"))
+    names = [f"m{i}" for i in range(MAP_WORDS)]
+    mapped = found.mapInPandas(maps, ", ".join(f"{c} bigint" for c in ["id", *names]))
+    mapped = mapped.groupBy("id").agg(F.count("*").alias("rows"), *(F.min(c).alias(c) for c in names)).where("rows = 1")
+    return mapped.join(rare, "id", "left").select("id", F.coalesce("rare", F.lit(0)).alias("rare"), *names)
+
+
+def _marked(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets with their component ``c``, which is the set itself where none is known."""
+    return sets.join(labels, sets["id"] == labels["node"], "left").withColumn("c", F.coalesce("component", "id"))
+
+
+def across_components(
+    sets: DataFrame, counts: np.ndarray, labels: DataFrame, texts: DataFrame, percent: int
+) -> DataFrame:
+    """All pairs of a posting list that lie in different components and may be linked.
+
+    In long lists two exact bounds come first. With ``rare`` shingles that no other set of
+    such lists has, the intersection is at most n - rare and the union at least n + the
+    other's rare; sets that cannot link with any go before the join. With bit maps, the
+    intersection is at most n less the bits that the other lacks.
+    """
+    posted = postings(_marked(sets, labels), counts, "c")
+    per_component = posted.groupBy("token", "c").agg(F.count("*").alias("rows"))
     mixed = (
         per_component.groupBy("token")
-        .agg(F.count("*").alias("parts"), F.max_by("c", F.struct("rows", "c")).alias("main"))
+        .agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max_by("c", F.struct("rows", "c")).alias("main"))
         .where("parts > 1")
-        .select("token", "main")
+        .select("token", "main", (F.col("rows") >= LONG).alias("long"))
     )
-    listed = durable(labelled.join(mixed, "token"))
-    x, y = listed.where("c <> main").alias("x"), listed.alias("y")
-    once = F.expr("x.c <> y.c AND (y.c = y.main OR x.id < y.id)")
-    found = x.join(y, F.expr("x.token = y.token") & once & _may_link("x", "y", percent))
-    pair = F.expr("least(x.id, y.id)"), F.expr("greatest(x.id, y.id)")
-    return found.select(pair[0].alias("a"), pair[1].alias("b")).distinct()
+    listed = durable(posted.join(mixed, "token"))
+    long = listed.where("long")
+    partner = F.expr("x.token = y.token AND x.c <> y.c") & _may_link("x", "y", percent)
+    alive = long.where("c <> main").alias("x").join(long.alias("y"), partner, "left_semi").select("token").distinct()
+    members = durable(long.join(alive, "token", "left_semi").select(F.col("id").alias("doc_id")).distinct())
+    bounds = durable(_set_bounds(texts, members))
+    columns = ["token", "id", "n", "b1", "b2", "c", "main"]
+    once = F.expr("x.token = y.token AND x.c <> y.c AND (y.c = y.main OR x.id < y.id)")
+    pair = F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")
+    short = listed.where("NOT long").select(*columns)
+    x, y = short.where("c <> main").alias("x"), short.alias("y")
+    found = x.join(y, once & _may_link("x", "y", percent)).select(*pair)
+    own = prefixes(sets.join(members, sets["id"] == members["doc_id"], "left_semi"), counts).join(bounds, "id", "left")
+    thinned = durable(
+        long.select(*columns).join(own, "id")
+        .where(F.col("rare").isNull() | (100 * (F.col("n") - F.col("rare")) >= percent * F.col("n")))
+    )
+    x, y = thinned.where("c <> main").alias("x"), thinned.alias("y")
+    fits = f"100 * least(x.n - x.rare, y.n - y.rare) >= {percent} * greatest(x.n + y.rare, y.n + x.rare)"
+    lacks = lambda s, t: " + ".join(f"bit_count({s}.m{i} & ~{t}.m{i})" for i in range(MAP_WORDS))
+    share = f"least(x.n - ({lacks('x', 'y')}), y.n - ({lacks('y', 'x')}))"
+    fits = F.expr(f"x.rare IS NULL OR y.rare IS NULL OR ({fits} AND {100 + percent} * {share} >= {percent} * (x.n + y.n))")
+    # A pair of long lists is taken from its first common list alone.
+    first = F.expr("array_min(array_intersect(x.tokens, y.tokens)) = x.token")
+    found = found.union(x.join(y, once & _may_link("x", "y", percent) & fits & first).select(*pair))
+    return found.distinct()
 
 
 def _confirm(percent: int):
@@ -238,11 +318,17 @@ def _confirm(percent: int):
     return confirm
 
 
+def picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids``; few ids travel to the documents, many meet them in a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     pairs = durable(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = durable(documents.join(ids, "doc_id").select("doc_id", "text").distinct())
+    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = picked(documents, ids)
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(first, "a").join(second, "b").mapInPandas(_confirm(percent), "a bigint, b bigint").distinct()
@@ -265,15 +351,19 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
             F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("b1").alias("b1"), F.first("b2").alias("b2")
         ).withColumnRenamed("n_shingles", "n")
     )
-    posted = durable(postings(sets, token_counts(sets)))
+    counts = token_counts(sets)
     texts = documents.where(F.col("doc_id").isNotNull())
-    links = durable(confirmed(neighbours(posted, percent), texts, percent))
-    labels = durable(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    more = confirmed(across_components(posted, labels, percent), texts, percent)
+    labels, ends = None, None
+    for round_ in range(NEAR_ROUNDS):
+        marked = sets.withColumn("c", F.col("id")) if labels is None else _marked(sets, labels)
+        links = confirmed(neighbours(postings(marked, counts, "c"), percent, round_), texts, percent)
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = durable(components(edges if ends is None else edges.union(ends)))
+        ends = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    more = confirmed(across_components(sets, counts, labels, texts, percent), texts, percent)
     versions = real.join(sets.withColumnRenamed("n", "n_shingles"), keys).select(
         F.col("doc_id").alias("u"), F.col("id").alias("v")
     )
-    ends = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
     edges = ends.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(versions)
     reached = components(edges)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
