@@ -42,7 +42,7 @@ UNEQUAL_BITS = 28
 #: Counters of the token frequency sketch. It only orders tokens, so sharing a counter costs time, not pairs.
 COUNTERS = 1 << 18
 #: Before the exact pass: how far apart neighbours stand in a list, how many of a set are confirmed, and how often.
-BESIDE, NEAREST, NEAR_ROUNDS = 16, 12, 2
+BESIDE, NEAREST, NEAR_ROUNDS = 16, 12, 1
 #: Posting lists of so many rows get exact bounds before they are joined: shingles that no other set of such
 #: lists has, and bit maps of so many 64-bit words.
 LONG, MAP_WORDS = 50, 16
