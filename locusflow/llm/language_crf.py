@@ -31,7 +31,7 @@ TABLE = 1 << 15
 LEXICON_WORDS = 20_000
 BLOCK = 32
 #: The fitting sample: documents of each language, and the training sequences made from them.
-SAMPLE_EACH, SEQUENCES, SEQUENCE_WORDS, SWITCH = 600, 2400, 32, 0.06
+SAMPLE_EACH, SEQUENCES, SEQUENCE_WORDS, SWITCH = 250, 2400, 32, 0.06
 UNKNOWN = "und"
 SLICE_CHARS = 1_000_000
 RESULT = (
