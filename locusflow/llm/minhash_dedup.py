@@ -3,9 +3,9 @@
 A document's set is its distinct five-word shingles. Exact copies of a set are folded
 first, by partial aggregation. Every remaining set has COORDINATES MinHash values; each
 (coordinate, value) pair is a token with a posting list. Two sets at the similarity
-threshold share at least MATCHES tokens (see ``MATCHES``), so after ordering a set's tokens
-by corpus frequency, rare first, they share one of their first COORDINATES - MATCHES + 1:
-only that prefix is posted. Collisions over all coordinates are counted on the
+threshold share at least ``least_matches`` tokens, so after ordering a set's tokens by
+corpus frequency, rare first, they share one of their first COORDINATES less that number
+plus one: only that prefix is posted. Collisions over all coordinates are counted on the
 coordinates' low bits, which travel with the posting. Surviving pairs are confirmed on the
 full sets.
 
@@ -18,7 +18,9 @@ long list shares with no other thin that list before it is joined.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,13 +34,8 @@ from locusflow.operators.durable import durable
 SHINGLE = 5
 #: Coordinates that become tokens, and those whose low bits form the sketch.
 COORDINATES, SKETCHED = 32, 128
-#: At similarity 0.85 a pair has 27.2 equal coordinates of 32 on average: fewer than 16 happens
-#: to one pair in 1.7 million.
-MATCHES = 16
-PREFIX = COORDINATES - MATCHES + 1
-#: Unequal coordinates still agree on one bit half of the time: at similarity 0.85 a pair has
-#: 9.6 unequal bits of 128 on average; more than 28 happens to one pair in 15 million.
-UNEQUAL_BITS = 28
+#: Chances that a pair exactly at the threshold fails the bound on equal coordinates, and that on sketch bits.
+MISSED_MATCHES, MISSED_BITS = 6e-7, 1e-7
 #: Counters of the token frequency sketch. It only orders tokens, so sharing a counter costs time, not pairs.
 COUNTERS = 1 << 18
 #: Before the exact pass: how far apart neighbours stand in a list, how many of a set are confirmed, and how often.
@@ -57,6 +54,39 @@ _PLACE = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>, b1 bigint, b2 bigint"
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    return [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+@lru_cache
+def least_matches(percent: int) -> int:
+    """Equal coordinates of COORDINATES that a pair at the threshold has but with a chance of MISSED_MATCHES.
+
+    At 85 percent these are 16 of 27.2 on average. No pair without an equal coordinate is
+    ever found, so a threshold at which that happens more often is refused.
+    """
+    chance = _binomial(COORDINATES, percent / 100)
+    fewest = [m for m in range(1, COORDINATES + 1) if sum(chance[:m]) <= MISSED_MATCHES]
+    if not fewest:
+        raise ValueError(f"{COORDINATES} coordinates find no pairs at {percent} percent surely")
+    return max(fewest)
+
+
+def prefix_length(percent: int) -> int:
+    return COORDINATES - least_matches(percent) + 1
+
+
+@lru_cache
+def most_unequal_bits(percent: int) -> int:
+    """Unequal bits of SKETCHED that a pair at the threshold exceeds with a chance of MISSED_BITS.
+
+    Unequal coordinates still agree on one bit half of the time: at 85 percent a pair has
+    9.6 unequal bits on average and 28 at most.
+    """
+    chance = _binomial(SKETCHED, (1 - percent / 100) / 2)
+    return min(b for b in range(SKETCHED + 1) if sum(chance[b + 1 :]) <= MISSED_BITS)
+
+
 def shingle_hashes(word_hash: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of a text's five-word shingles; of all its words if it has fewer."""
     n = len(word_hash)
@@ -132,26 +162,28 @@ def token_counts(sets: DataFrame) -> np.ndarray:
     return counts
 
 
-def _rarest(sig: pd.Series, counts: np.ndarray) -> np.ndarray:
+def _rarest(sig: pd.Series, counts: np.ndarray, prefix: int) -> np.ndarray:
     tokens = np.sort(_tokens(sig), axis=1)
-    rarest = np.argsort(counts[_counter(tokens)], axis=1, kind="stable")[:, :PREFIX]
+    rarest = np.argsort(counts[_counter(tokens)], axis=1, kind="stable")[:, :prefix]
     return np.take_along_axis(tokens, rarest, axis=1).astype(np.int64)
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """(id, tokens): every set's posted tokens."""
+    prefix = prefix_length(percent)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def list_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"id": batch["id"], "tokens": list(_rarest(batch["sig"], shared.value))})
+                yield pd.DataFrame({"id": batch["id"], "tokens": list(_rarest(batch["sig"], shared.value, prefix))})
 
     return sets.select("id", "sig").mapInPandas(list_tokens, "id bigint, tokens array<bigint>")
 
 
-def postings(sets: DataFrame, counts: np.ndarray, *carried: str) -> DataFrame:
-    """(token, id, n, b1, b2, carried) for the PREFIX rarest tokens of every set."""
+def postings(sets: DataFrame, counts: np.ndarray, percent: int, *carried: str) -> DataFrame:
+    """(token, id, n, b1, b2, carried) for the ``prefix_length`` rarest tokens of every set."""
+    prefix = prefix_length(percent)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     names = ["id", "n", "b1", "b2", *carried]
 
@@ -159,9 +191,9 @@ def postings(sets: DataFrame, counts: np.ndarray, *carried: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                tokens = _rarest(part["sig"], shared.value)
+                tokens = _rarest(part["sig"], shared.value, prefix)
                 yield pd.DataFrame(
-                    {"token": tokens.ravel()} | {c: np.repeat(part[c].to_numpy(), PREFIX) for c in names}
+                    {"token": tokens.ravel()} | {c: np.repeat(part[c].to_numpy(), prefix) for c in names}
                 )
 
     schema = ", ".join(f"{c} bigint" for c in ["token", *names])
@@ -174,11 +206,12 @@ def _unequal(x: str, y: str) -> Column:
 
 def _may_link(x: str, y: str, percent: int) -> Column:
     sizes = F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
-    return sizes & (_unequal(x, y) <= UNEQUAL_BITS)
+    return sizes & (_unequal(x, y) <= most_unequal_bits(percent))
 
 
 def _beside(percent: int):
     """Pairs of rows of different components, at most BESIDE places apart in a posting list, that may be linked."""
+    most_unequal = most_unequal_bits(percent)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -188,7 +221,7 @@ def _beside(percent: int):
             token, ident, n, b1, b2, c = (held[k].to_numpy() for k in ("token", "id", "n", "b1", "b2", "c"))
             for step in range(1, min(BESIDE, len(held) - 1) + 1):
                 unequal = np.bitwise_count(b1[:-step] ^ b1[step:]).astype(np.int64) + np.bitwise_count(b2[:-step] ^ b2[step:])
-                near = (token[:-step] == token[step:]) & (c[:-step] != c[step:]) & (unequal <= UNEQUAL_BITS)
+                near = (token[:-step] == token[step:]) & (c[:-step] != c[step:]) & (unequal <= most_unequal)
                 near &= 100 * np.minimum(n[:-step], n[step:]) >= percent * np.maximum(n[:-step], n[step:])
                 x, y = ident[:-step][near], ident[step:][near]
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "unequal": unequal[near]})
@@ -267,7 +300,7 @@ def across_components(
     other's rare; sets that cannot link with any go before the join. With bit maps, the
     intersection is at most n less the bits that the other lacks.
     """
-    posted = postings(_marked(sets, labels), counts, "c")
+    posted = postings(_marked(sets, labels), counts, percent, "c")
     per_component = posted.groupBy("token", "c").agg(F.count("*").alias("rows"))
     mixed = (
         per_component.groupBy("token")
@@ -287,7 +320,7 @@ def across_components(
     short = listed.where("NOT long").select(*columns)
     x, y = short.where("c <> main").alias("x"), short.alias("y")
     found = x.join(y, once & _may_link("x", "y", percent)).select(*pair)
-    own = prefixes(sets.join(members, sets["id"] == members["doc_id"], "left_semi"), counts).join(bounds, "id", "left")
+    own = prefixes(sets.join(members, sets["id"] == members["doc_id"], "left_semi"), counts, percent).join(bounds, "id", "left")
     thinned = durable(
         long.select(*columns).join(own, "id")
         .where(F.col("rare").isNull() | (100 * (F.col("n") - F.col("rare")) >= percent * F.col("n")))
@@ -337,7 +370,8 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    A document without words (null or blank text) has an empty set and is linked with
+    A link at ``percent`` exactly is missed with a chance of at most MISSED_MATCHES +
+    MISSED_BITS, a closer one with less. A document without words (null or blank text) has an empty set and is linked with
     nothing. Rows that repeat a ``doc_id`` with another text are versions of one document
     and share its component. A row without ``doc_id`` takes part as no document: its
     component is null and it is kept. Other columns are ignored; an empty table gives none.
@@ -356,7 +390,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     labels, ends = None, None
     for round_ in range(NEAR_ROUNDS):
         marked = sets.withColumn("c", F.col("id")) if labels is None else _marked(sets, labels)
-        links = confirmed(neighbours(postings(marked, counts, "c"), percent, round_), texts, percent)
+        links = confirmed(neighbours(postings(marked, counts, percent, "c"), percent, round_), texts, percent)
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = durable(components(edges if ends is None else edges.union(ends)))
         ends = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))

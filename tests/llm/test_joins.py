@@ -1,3 +1,4 @@
+import math
 import random
 
 import brute
@@ -69,6 +70,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (n, c, c == i) for i, (n, c) in brute.near_duplicates(rows).items()}
 
 
+def test_bounds_keep_the_chance_of_a_miss_at_every_threshold():
+    assert (minhash_dedup.least_matches(85), minhash_dedup.most_unequal_bits(85)) == (16, 28)
+    for percent in range(40, 101):
+        s, q = percent / 100, (1 - percent / 100) / 2
+        fewer = sum(math.comb(32, k) * s**k * (1 - s) ** (32 - k) for k in range(minhash_dedup.least_matches(percent)))
+        more = sum(math.comb(128, k) * q**k * (1 - q) ** (128 - k) for k in range(minhash_dedup.most_unequal_bits(percent) + 1, 129))
+        assert fewer + more <= 1e-6
+    with pytest.raises(ValueError):
+        minhash_dedup.prefix_length(10)
+
+
+@pytest.mark.parametrize("percent", [70, 80])
+def test_near_duplicates_at_lower_thresholds(spark, percent):
+    rng = random.Random(percent)
+    base = words(rng, 220)
+    texts = [" ".join(edited(rng, base, n)) for n in [0, 2, 3, 4, 5, 6, 8] * 6]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame([(i, t, "k", "w") for i, t in rows], DOCUMENTS)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(table, percent).collect()}
+    assert got == {i: c for i, (_, c) in brute.near_duplicates(rows, percent).items()}
+
+
 def test_duplicates_with_odd_ids(spark):
     text = "a b c d e f g h i j"
     rows = [(None, text), (5, text), (5, text), (3, text), (3, "other words entirely here now"), (None, None)]
