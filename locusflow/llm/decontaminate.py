@@ -23,8 +23,6 @@ BROADCAST_BYTES = 16 << 20
 #: Runs of bytes that are no word characters, in lower-cased text and in text that keeps A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS_BUT_UPPER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Upper or title case outside A-Z, which folding changes and lower-casing A-Z does not.
-OTHER_UPPER = r"[\p{Lu}\p{Lt}&&[^A-Z]]"
 
 
 def fold(text: Column) -> Column:
@@ -72,7 +70,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
 def _documents(documents: DataFrame) -> DataFrame:
     """(doc_id, key, words, exact, n_words). ``exact`` keeps the case, where folding changed more than A-Z."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    changed = (F.char_length("t") != F.octet_length("t")) & F.col("t").rlike(OTHER_UPPER)
+    changed = (F.char_length("t") != F.octet_length("t")) & (fold(F.col("t")) != ascii_lower(F.col("t")))
     empties = F.expr("int(words[0] = '') + int(size(words) > 1 AND words[size(words) - 1] = '')")
     return (
         documents.select(F.col("doc_id"), text.alias("t"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -40,6 +41,19 @@ def test_contamination_equals_brute_force(spark, broadcast_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_contamination_where_only_folding_changes_small_letters(spark, broadcast_bytes):
+    items = [(1, "ο λόγος του"), (2, "ο λόγοσ του"), (3, "phase Ⅲ trial"), (4, "phase ⅲ trial"), (5, "point ⓐ here"), (6, "point Ⓐ here")]
+    texts = ["x ο λόγος του y", "x ο λόγοσ του y", "a phase Ⅲ trial", "a phase ⅲ trial", "at point Ⓐ here", "A POINT ⓐ HERE"]
+    table = spark.createDataFrame([(i, t, "k", "w") for i, t in enumerate(texts)], DOCUMENTS)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_hit"], r["items_sha256"]) for r in decontaminate.contaminated(table, benchmark, broadcast_bytes).collect())
+    named = brute.contaminated(texts, items)
+    assert [hit for _, hit, _ in named] == [3] * 6
+    assert got == [(i, hit, hashlib.sha256(",".join(x).encode()).hexdigest()) for i, (_, hit, x) in enumerate(named)]
+    assert decontaminate.without_contaminated(table.select("doc_id", "text"), benchmark).count() == 0
+
+
 def test_contamination_without_rows(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b", "", "")], DOCUMENTS)
