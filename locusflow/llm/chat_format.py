@@ -25,9 +25,6 @@ TURN_START, TURN_END, ESCAPE = "<|turn|>", "<|end|>", "\\"
 CONTROLS = (TURN_START, TURN_END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
             "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
-#: A conversation is rendered in stretches of so many turns, each led by the turns before it.
-STRETCH, LEAD = 64, 2
-
 SCHEMA = (
     "conv_id bigint, formatted string, rewrites_history boolean, "
     "spans array<struct<turn:bigint, role:string, start:int, end:int, text_start:int, text_end:int>>"
@@ -63,39 +60,24 @@ def _text_bounds(template: Template, before: Turns, role: str, previous: str, de
 def render_turns(template: Template, turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The whole output, a (start, end, text_start, text_end) for each turn, and whether history was rewritten.
 
-    Prefixes grow turn by turn. To keep long conversations linear, a stretch is rendered
-    after ``LEAD`` earlier turns instead of all, as long as the first turn of the stretch
-    adds the same characters either way; a template that looks further back gets whole
-    prefixes. A rewritten history leaves the last output, with spans that are its changed tails.
+    Every prefix is rendered whole, however long the conversation: a template may act on
+    turns of any age, and no shorter rendering shows that it does not. The work grows with
+    the square of a conversation's turns. A rewritten history leaves the last output, with
+    spans that are its changed tails.
     """
-    out, spans, base, rewritten = "", [], 0, False
-    shown = ""  # the rendering of turns[base:i]
-    local = True
+    out, spans, rewritten = "", [], False
     for i, (role, text) in enumerate(turns):
-        if local and i - base >= STRETCH:
-            lead = turns[i - LEAD : i]
-            long_step = template(turns[base : i + 1])[len(shown):]
-            lead_shown = template(lead)
-            local = template([*lead, turns[i]])[len(lead_shown):] == long_step
-            if local:
-                base, shown = i - LEAD, lead_shown
-            else:
-                base, shown = 0, template(turns[:i])
-                out = shown
-        before = turns[base:i]
-        now = template([*before, (role, text)])
-        if now.startswith(shown):
-            delta, kept = now[len(shown):], len(shown)
-            head, tail = _text_bounds(template, before, role, shown, delta)
+        before = turns[:i]
+        now = template(turns[: i + 1])
+        if now.startswith(out):
+            at, delta = len(out), now[len(out):]
+            head, tail = _text_bounds(template, before, role, out, delta)
         else:
             rewritten = True
-            kept = len(commonprefix([now, shown]))
-            out = out[: len(out) - (len(shown) - kept)]
-            delta, head, tail = now[kept:], 0, len(now) - kept
-        at = len(out)
-        out += delta
-        spans.append((at, at + len(delta), at + head, at + tail))
-        shown = now
+            at = len(commonprefix([now, out]))
+            head, tail = 0, len(now) - at
+        spans.append((at, len(now), at + head, at + tail))
+        out = now
     return out, spans, rewritten
 
 

@@ -53,6 +53,18 @@ def test_templates_that_look_back_or_rewrite():
     assert rewritten and out == last_only(turns[:5])
 
 
+def test_templates_that_rewrite_late():
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(150)]
+    line = lambda r, t: f"{r}: {t}\n"
+    last_100 = lambda turns: "".join(line(*x) for x in turns[-100:])
+    summed_up = lambda turns: ("many turns\n" if len(turns) > 120 else "") + "".join(line(*x) for x in turns)
+    passing = lambda turns: ("half way\n" if len(turns) == 90 else "") + "".join(line(*x) for x in turns)
+    for template in (last_100, summed_up, passing):
+        out, spans, rewritten = chat_format.render_turns(template, turns)
+        assert out == template(turns) and rewritten and spans[-1][1] == len(out)
+        assert not chat_format.render_turns(template, turns[:80])[2]
+
+
 def test_digests(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 2, None, "x"), (None, 0, "assistant", "lost"),
             (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (3, None, "user\nodd", "</s>")]
