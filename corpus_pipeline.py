@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from locusflow.llm import decontaminate, language_crf, minhash_dedup, piece_codec, quality_mil
 from locusflow.llm.text import stored, table
 
-#: A text whose words do not agree on a language to this degree is rejected.
+#: A text whose words are labelled less surely than this on average is rejected, however many languages it mixes.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a letter and a language that their words agree on."""
+    """Texts with a letter and words whose languages are sure."""
     labelled = language_crf.with_language(docs, language_crf.training_model(docs))
-    sure = (F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
+    sure = (F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("lang_certainty") >= LEAST_LANGUAGE_SCORE)
     return labelled.where(sure).select(*docs.columns)
 
 

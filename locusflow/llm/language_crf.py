@@ -291,18 +291,27 @@ def identify(documents: DataFrame, model: Crf, runs: bool = True) -> DataFrame:
 
 
 def with_language(documents: DataFrame, model: Crf) -> DataFrame:
-    """All rows and columns, with ``lang_pred`` and ``lang_score`` as ``identify`` gives them."""
+    """All rows and columns, with ``lang_pred`` and ``lang_score`` as ``identify`` gives them.
+
+    ``lang_certainty`` is the mean of each word's largest label probability: how surely the
+    words are labelled, whether or not they share a language. It is 0 where ``lang_score`` is.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def compute():
         crf = shared.value
 
         def label(texts: list[str | None]):
-            means = [mean for _, mean in label_words(crf, texts)]
-            real = [bool(len(m)) and m.any() and any(c.isalpha() for c in t or "") for t, m in zip(texts, means)]
-            names = [crf.labels[int(m.argmax())] if r else UNKNOWN for r, m in zip(real, means)]
-            return names, [min(float(m.max()), 1.0) if r else 0.0 for r, m in zip(real, means)]
+            names, scores, certainties = [], [], []
+            for t, (own, mean) in zip(texts, label_words(crf, texts)):
+                real = bool(len(mean)) and mean.any() and any(c.isalpha() for c in t or "")
+                names.append(crf.labels[int(mean.argmax())] if real else UNKNOWN)
+                scores.append(min(float(mean.max()), 1.0) if real else 0.0)
+                certainties.append(min(float(own.max(axis=1).mean()), 1.0) if real else 0.0)
+            return names, scores, certainties
 
         return label
 
-    return with_columns(documents, compute, {"lang_pred": T.StringType(), "lang_score": T.DoubleType()})
+    return with_columns(
+        documents, compute, {"lang_pred": T.StringType(), "lang_score": T.DoubleType(), "lang_certainty": T.DoubleType()}
+    )

@@ -1,6 +1,6 @@
 import brute
 import corpus_pipeline
-from locusflow.llm import piece_codec
+from locusflow.llm import language_crf, piece_codec
 from locusflow.llm.text import stored, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +41,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_clean_text_of_three_languages_is_kept(spark):
+    documents = table(spark, FOLDER, "documents").select("doc_id", "text", "lang")
+    longest = {}
+    for r in documents.collect():
+        if r["lang"] and len(r["text"].split()) > len(longest.get(r["lang"], "").split()):
+            longest[r["lang"]] = r["text"]
+    mixed = " ".join(" ".join(longest[lang].split()[:40]) for lang in sorted(longest)[:3])
+    rows = documents.union(spark.createDataFrame([(-7, mixed, None)], "doc_id bigint, text string, lang string"))
+    model = language_crf.training_model(rows)
+    found = language_crf.with_language(rows.where("doc_id = -7"), model).first()
+    assert found["lang_score"] < 0.4 < found["lang_certainty"]
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, rows, FOLDER)
+    assert kept.where("doc_id = -7").count() == 1 and kept.columns == rows.columns
