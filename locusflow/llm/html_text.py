@@ -5,7 +5,8 @@ text. The densities of an element's children are summed; the element with the la
 is the article's body. The least density on the path from it up to the page body is the
 threshold: other parts that are as dense belong to the article too. An ``article`` or
 ``main`` element around the best element is taken whole. Menus, headers, footers, asides,
-forms, scripts, adverts, notices and reader comments are left out by element, role and class.
+forms, scripts, adverts, notices and reader comments are left out by element, role and class: by whole names, and where a name also fits
+article text, by the share of links.
 """
 
 from __future__ import annotations
@@ -43,6 +44,17 @@ WORDS = frozenset(
     "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter subscribe share "
     "sharing social related recommended comment comments reply replies respond disqus footer login signup widget pagination toolbar".split()
 )
+#: Words of WORDS that articles also have subjects and boxes of: these alone do not show that an element is no text.
+LOOSE = frozenset("social share sharing related recommended notice notices menu promo widget banner".split())
+#: What else a class name or id may be made of. One with any other word, as "market-share", is no known name.
+SHAPES = frozenset(
+    "area bar block bottom box btn button buttons container entries footer global google gpt group header icons inner item "
+    "items js left link links list message outer page post posts primary recent right row secondary site slot thread title "
+    "top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: An element that only a LOOSE word or an id speaks against goes if this share of its characters is links.
+MOSTLY_LINKS = 0.5
 #: An open element that the start of another ends: element -> (ended by, search stops at).
 _LISTS = frozenset(("ul", "ol", "menu", "dir"))
 ENDED = {
@@ -53,17 +65,27 @@ ENDED = {
 
 
 class _Node:
-    __slots__ = ("name", "parent", "block", "out", "chars", "link_chars", "tags", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parent", "block", "out", "doubt", "chars", "link_chars", "tags", "link_tags", "density", "total", "best")
 
     def __init__(self, name: str, parent: _Node | None, block: bool, out: bool):
         self.name, self.parent, self.block, self.out = name, parent, block, out
+        self.doubt: tuple[int, int, int] | None = None  # place, characters and link characters before it
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
 
 
-def _is_left_out(name: str, attributes: str, inside: bool) -> bool:
-    """``inside``: whether an article or main element is open, whose own header belongs to it."""
+def _known(tokens: list[str]) -> set[str]:
+    """The words that tell what a class name or id means, if it is made of known words only."""
+    words = WORDS.intersection(tokens)
+    return words if all(t in words or t in SHAPES or t[0].isdigit() for t in tokens) else set()
+
+
+def _is_left_out(name: str, attributes: str, inside: bool) -> bool | None:
+    """None: only if it is mostly links. ``inside``: whether an article or main element is open, whose own header belongs to it.
+
+    Ids of headings, and of sections in an article, are made from titles and say nothing.
+    """
     if name in LEFT_OUT:
         return True
     if name in ("html", "body", "article", "main"):
@@ -72,19 +94,36 @@ def _is_left_out(name: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes:
         return False
+    doubt = False
     for key, *values in _NAMED.findall(attributes):
-        tokens = _TOKEN.findall("".join(values).lower())
-        if key.lower() == "role" and ROLES.intersection(tokens) or key.lower() != "role" and WORDS.intersection(tokens):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        key, value = key.lower(), "".join(values).lower()
+        if key == "role":
+            if ROLES.intersection(_TOKEN.findall(value)):
+                return True
+            continue
+        if key == "id" and (name in HEADINGS or inside and name == "section"):
+            continue
+        for part in value.split():
+            words = _known(_TOKEN.findall(part))
+            if words:
+                titled = key == "id" and (inside or name == "section")
+                if not titled and not (inside and words <= LOOSE):
+                    return True
+                doubt = True
+    return bool(_HIDDEN.search(attributes)) or (None if doubt else False)
 
 
-def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """Block nodes, parents first, and the text blocks in page order with the node each stands in."""
+def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[tuple[_Node, str]], set[int]]:
+    """Block nodes, parents first, the text blocks in page order with the node each stands in, and doubtful elements.
+
+    The last are the places of those that turned out to be mostly links; ``gone`` are
+    places whose elements are left out.
+    """
     root = _Node("#page", None, True, False)
     nodes, stack, blocks = [root], [root], []
     held: list[str] = []
-    links = linked = 0
+    links = linked = seen = seen_linked = 0
+    mostly_links: set[int] = set()
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -104,6 +143,9 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if any(n.block for n in stack[to:]):
             flush()
         links -= sum(n.name == "a" for n in stack[to:])
+        for n in stack[to:]:
+            if n.doubt and seen > n.doubt[1] and seen_linked - n.doubt[2] >= MOSTLY_LINKS * (seen - n.doubt[1]):
+                mostly_links.add(n.doubt[0])
         del stack[to:]
 
     def find(names: frozenset[str] | set[str], stop: frozenset[str] | set[str] = frozenset()) -> int:
@@ -120,8 +162,11 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if upto > at and not stack[-1].out:
             piece = html.unescape(page[at:upto])
             held.append(piece)
+            size = len(piece.strip())
+            seen += size
             if links:
-                linked += len(piece.strip())
+                linked += size
+                seen_linked += size
         if not m:
             break
         at = m.end()
@@ -150,12 +195,15 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             continue
         parent = stack[-1]
         inside = any(n.name in ("article", "main") for n in stack)
-        out = parent.out or _is_left_out(name, m[3] or m[6] or "", inside)
+        left_out = _is_left_out(name, m[3] or m[6] or "", inside)
+        out = parent.out or left_out is True or m.start() in gone
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
             at = stop.start() if stop else end
         block = name in BLOCKS and not out
         node = _Node(name, parent, block, out)
+        if left_out is None and not out:
+            node.doubt = m.start(), seen, seen_linked
         stack.append(node)
         if name == "a":
             links += 1
@@ -165,8 +213,9 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if block:
             node.parent = next(n for n in reversed(stack[:-1]) if n.block)
             nodes.append(node)
+    close(1)
     flush()
-    return nodes, blocks
+    return nodes, blocks, mostly_links
 
 
 def _measure(nodes: list[_Node]) -> None:
@@ -194,7 +243,9 @@ def _measure(nodes: list[_Node]) -> None:
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by line feeds; empty for an empty page or one without such text."""
-    nodes, blocks = _parse(page or "")
+    nodes, blocks, gone = _parse(page or "")
+    if gone:
+        nodes, blocks, _ = _parse(page or "", gone)
     if not blocks:
         return ""
     _measure(nodes)

@@ -158,3 +158,18 @@ def test_main_text_of_pages(spark):
     got = extract_text(table).collect()
     assert sorted(r["n_chars"] for r in got) == [0, len(main_text(PAGE)), len(main_text(PAGE))]
     assert extract_text(table.limit(0)).count() == 0
+
+
+def test_names_made_from_titles_are_kept():
+    body = "Words of the article, long enough to count as text."
+    for name in ("market-share", "social-history", "comments-on-the-method", "share", "notice", "cookie", "related"):
+        for page in (f'<h2 id="{name}">Title</h2><p>{body}</p>', f"<section id='{name}'><h2>Title</h2><p>{body}</p></section>"):
+            for around in ("article", "main"):
+                assert main_text(f"<body><{around}><p>{body}</p>{page}</{around}>") == f"{body}\nTitle\n{body}"
+    assert main_text(f'<h2 id="market-share">Title</h2><p>{body}</p>') == f"Title\n{body}"
+    noted = lambda inner: main_text(f"<article><p>{body}</p>{inner}<p>End.</p></article>")
+    assert noted(f'<div class="notice">{body}</div>') == f"{body}\n{body}\nEnd."
+    for gone in ("<div class='share-buttons'><a href=x>Post</a> <a href=y>Mail</a></div>", '<div class="ad">Buy</div>',
+                 '<div id="related"><ul><li><a href=x>More</a></ul></div>', "<div class=comment-list><p>A reader.</p></div>",
+                 '<p class="x cookie-notice">We use cookies</p>', "<a class=share href=x>Share</a>"):
+        assert noted(gone) == f"{body}\nEnd."
