@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from locusflow.llm import chat_format, decontaminate, html_text, language_crf, lm_scoring, minhash_dedup, piece_codec, quality_mil, topk_search, toxicity
+from locusflow.llm import (
+    byte_shards, chat_format, decontaminate, html_text, language_crf, lm_scoring, minhash_dedup, periodic_runs, piece_codec,
+    quality_mil, spelling_variants, topk_search, toxicity,
+)
 from locusflow.llm.text import table
 
 LLM_QUERIES = {}
@@ -147,4 +150,21 @@ def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+@registered("op11_periodic_runs")
+def periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.run_digests(periodic_runs.with_runs(periodic_runs.planted(documents)))
+
+
+@registered("op12_byte_shards")
+def byte_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards.shard_report(table(spark, sf_dir, "documents"), 40)
+
+
+@registered("op13_spelling_variants")
+def spelling_variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.with_slips(spelling_variants.word_runs(table(spark, sf_dir, "documents")))
+    return spelling_variants.spelling_variants(spelling_variants.vocabulary(words))
+
+
 registered("pipeline", ORACLE_SQL)(run)

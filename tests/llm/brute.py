@@ -1,7 +1,10 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
 import re
 import string
+import zlib
+from fractions import Fraction
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +86,79 @@ def best_score(word, pieces, byte_score):
             if word[start:end] in pieces:
                 best[end] = max(best[end], best[start] + pieces[word[start:end]])
     return best[-1]
+
+
+def periodic_runs(words, least=24, times=3):
+    """([(start, length, period)], kept words) by comparing every word with the one a period on."""
+    n, smallest = len(words), {}
+    for p in range(1, n // times + 1):
+        i = 0
+        while i < n - p:
+            begin = i
+            while i < n - p and words[i] == words[i + p]:
+                i += 1
+            if i > begin and i - begin + p >= max(least, times * p):
+                smallest.setdefault((begin, i - begin + p), p)
+            i += 1
+    runs = sorted(((s, length, p) for (s, length), p in smallest.items()), key=lambda r: (r[0], r[2]))
+    gone = {i for s, length, p in runs for i in range(s + p, s + length)}
+    return runs, [w for i, w in enumerate(words) if i not in gone]
+
+
+def planted_words(doc_id, text):
+    words = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if words and doc_id is not None and h % 10 == 0:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def run_digests(doc_id, text):
+    """The row that the query of periodic runs gives for a document."""
+    runs, kept = periodic_runs(planted_words(doc_id, text))
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    lines = "".join(f"{s},{length},{p}\n" for s, length, p in runs)
+    milli = 1000 * best[1] // best[2] if runs else None
+    return (doc_id, len(runs), *best, milli, digest(lines), digest(" ".join(kept)))
+
+
+def byte_shards(sizes, shards):
+    """Shard of every row in order: where its middle byte falls."""
+    total, before, out = sum(sizes), 0, []
+    for size in sizes:
+        out.append((2 * before + size) * shards // (2 * total))
+        before += size
+    return out
+
+
+def slipped_words(doc_id, text, every=199):
+    for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+        run = run.translate(LOWER)
+        h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+        yield run if h % every else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def one_edit(x, y):
+    """Whether one inserted, deleted or replaced letter turns x into y."""
+    x, y = sorted((x, y), key=len)
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) == 1
+    return len(y) == len(x) + 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+
+def spelling_variants(counts, ratio=5):
+    """{word: (form, root, n, n_near, form_n)} of {word: n}."""
+    near = {w: [v for v in counts if abs(len(v) - len(w)) < 2 and one_edit(v, w)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), n, len(near[w]), counts.get(form[w])) for w, n in counts.items()}
