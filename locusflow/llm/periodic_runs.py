@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from locusflow.functions.binding import let
 from locusflow.llm.text import with_columns
-from locusflow.llm.words import slices
+from locusflow.llm.words import mix, slices
 
 #: Shortest run in words, and in periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -79,8 +79,8 @@ def grammar(symbol: np.ndarray) -> list[Level]:
         symbol = parents
         if np.diff(np.flatnonzero(symbol < 0)).max(initial=0) <= FEW_SYMBOLS + 1:
             return [*levels, Level(symbol, True, none, none)]
-        factor = rng.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        right = (symbol.astype(np.uint64) * factor) >> np.uint64(63) == 1
+        salt = rng.integers(1 << 63, dtype=np.uint64)
+        right = mix(symbol.astype(np.uint64) + salt) & np.uint64(1) == 1
         joined = np.zeros(len(symbol), dtype=bool)
         joined[1:] = ~right[:-1] & right[1:] & (symbol[:-1] >= 0) & (symbol[1:] >= 0)
         held = symbol
