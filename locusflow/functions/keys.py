@@ -30,7 +30,12 @@ def variant_key(chrom="chrom", pos="pos", ref="ref", alt="alt") -> Column:
 
 
 def with_locus(df: DataFrame) -> DataFrame:
-    """Add the four normalised join columns shared by every locus-keyed source."""
+    """Add the four normalised join columns shared by every locus-keyed source.
+
+    A store laid out by locus has them already; they stay plain columns.
+    """
+    if set(LOCUS) <= set(df.columns):
+        return df
     return df.withColumns(
         {
             "locus_chrom": prefixed_contig(F.col("chrom")),

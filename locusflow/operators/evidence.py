@@ -11,10 +11,12 @@ from locusflow.functions.consequences import literal_map
 from locusflow.functions.info import carried_annotation
 from locusflow.functions.keys import LOCUS, locus_from_key, with_locus
 from locusflow.operators.intervals import flag_inside
-from locusflow.operators.skew import FAN_OUT, HEAVY_FLOOR, SALT, heavy_keys, salt_lookup, salt_rows
+from locusflow.operators.skew import FAN_OUT, HEAVY_FLOOR, SPREAD, heavy_hashes, heavy_rows, spread_number
 from locusflow.settings import CURATED_INHERITANCE, GENOME_BUILD
 
 SPREAD_ON = ["sample_id", "line_no"]
+JOIN_ALT = "_join_alt"
+OWN_COLUMNS = [*LOCUS, SPREAD, JOIN_ALT]
 
 
 @dataclass(frozen=True)
@@ -37,28 +39,40 @@ class Coverage:
 class LocusJoins:
     """Left joins of calls to several locus-keyed stores over one shared partitioning.
 
-    All joins use the same four locus columns, so they reuse one exchange of the calls.
-    Loci carried by a large share of all calls are found first and salted; without any,
-    the joins are plain and the adaptive planner may broadcast a store it measured small.
+    All joins use the same four columns, so they reuse one exchange of the calls. Loci
+    carried by a large share of all calls are found by a sketch of ``counted`` (the calls
+    themselves, or rows with the same loci that are cheaper to read). Their calls keep their
+    locus but join under an alternative allele that no store has and that differs by row, so
+    they are dealt evenly; their values come from broadcast store rows, one per heavy locus.
+    No store row is repeated, so a store laid out by locus is joined where it lies.
     """
 
-    def __init__(self, calls: DataFrame, spread_on: list[str] = SPREAD_ON, floor: int = HEAVY_FLOOR, fan: int = FAN_OUT):
-        located = with_locus(calls)
-        self._heavy = heavy_keys(located, LOCUS, floor)
-        self._fan = fan
-        self._keys = [*LOCUS, SALT] if self._heavy else list(LOCUS)
-        self.frame = salt_rows(located, LOCUS, self._heavy, spread_on, fan) if self._heavy else located
+    def __init__(
+        self, calls: DataFrame, spread_on: list[str] = SPREAD_ON, floor: int = HEAVY_FLOOR, fan: int = FAN_OUT,
+        counted: DataFrame | None = None,
+    ):
+        self.frame = with_locus(calls)
+        self._heavy = heavy_hashes(self.frame if counted is None else with_locus(counted), LOCUS, floor)
+        if self._heavy:
+            spread = spread_number(LOCUS, self._heavy, spread_on, fan)
+            apart = F.when(F.col(SPREAD) > 0, F.concat(F.lit("~"), F.col(SPREAD))).otherwise(F.col("locus_alt"))
+            self.frame = self.frame.withColumn(SPREAD, spread).withColumn(JOIN_ALT, apart)
 
     def left(self, store: DataFrame, columns: dict[str, Column]) -> "LocusJoins":
         """Add ``columns`` of a store holding one row per locus."""
         keyed = store.select(*LOCUS, *[c.alias(n) for n, c in columns.items()])
-        if self._heavy:
-            keyed = salt_lookup(keyed, LOCUS, self._heavy, self._fan)
-        self.frame = self.frame.join(keyed, self._keys, "left")
+        if not self._heavy:
+            self.frame = self.frame.join(keyed, LOCUS, "left")
+            return self
+        before = self.frame.columns
+        joined = self.frame.join(keyed.withColumnRenamed("locus_alt", JOIN_ALT), [*LOCUS[:3], JOIN_ALT], "left")
+        joined = joined.join(heavy_rows(keyed, LOCUS, self._heavy), LOCUS, "left")
+        value = lambda n: F.when(F.col(SPREAD) > 0, F.col(f"_hot.{n}")).otherwise(F.col(n)).alias(n)
+        self.frame = joined.select(*before, *[value(n) for n in columns])
         return self
 
     def done(self) -> DataFrame:
-        return self.frame.drop(*LOCUS, SALT)
+        return self.frame.drop(*OWN_COLUMNS)
 
 
 def _column(store: DataFrame, name: str, type_: str) -> Column:
@@ -104,12 +118,19 @@ def frequency_state(coverage: Coverage, inside: Column | None = None) -> Column:
     )
 
 
+def flag_covered(calls: DataFrame, coverage: Coverage) -> DataFrame:
+    """Calls with ``_in_panel`` where the coverage needs it, from position bit maps, before any store is joined."""
+    if coverage.effective_mode != "bed":
+        return calls
+    return flag_inside(calls, coverage.regions, SPREAD_ON, "_in_panel")
+
+
 def resolve_frequency(joined: DataFrame, coverage: Coverage) -> DataFrame:
-    """Replace raw store columns by the resolved frequency; unknown stays NULL."""
-    inside = None
-    if coverage.effective_mode == "bed":
-        joined = flag_inside(joined, coverage.regions, SPREAD_ON, "_in_panel")
-        inside = F.col("_in_panel")
+    """Replace raw store columns by the resolved frequency; unknown stays NULL.
+
+    A BED store's coverage is read from ``_in_panel`` (``flag_covered``).
+    """
+    inside = F.col("_in_panel") if coverage.effective_mode == "bed" else None
     state = F.col("frequency_state")
     value = lambda stored, absent: F.when(state == "frequency", F.col(stored)).when(state == "absent", absent)
     resolved = {
@@ -129,8 +150,8 @@ def resolve_frequency(joined: DataFrame, coverage: Coverage) -> DataFrame:
 
 def with_frequency(calls: DataFrame, store: DataFrame, coverage: Coverage, **skew) -> DataFrame:
     """Calls with the population frequency of their locus."""
-    joined = join_frequency(LocusJoins(calls, **skew), store).frame
-    return resolve_frequency(joined, coverage).drop(*LOCUS, SALT)
+    joins = LocusJoins(flag_covered(calls, coverage), counted=calls, **skew)
+    return resolve_frequency(join_frequency(joins, store).frame, coverage).drop(*OWN_COLUMNS)
 
 
 def join_assertions(joins: LocusJoins, store: DataFrame) -> LocusJoins:

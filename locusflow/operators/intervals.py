@@ -5,14 +5,16 @@ All intervals are 0-based half-open; positions are 1-based.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions.keys import bare_contig, prefixed_contig
-from locusflow.operators.skew import lookup
+from locusflow.operators.skew import attach, lookup
 
 MERGE_BIN = 1 << 20
 LOOKUP_BIN = 1 << 12
+# Small bins for maps that travel to wide rows: a panel of short regions touches few positions.
+WIDE_BIN = 1 << 10
 
 
 def merge_intervals(intervals: DataFrame, pad: int = 0, bin_size: int = MERGE_BIN) -> DataFrame:
@@ -70,12 +72,20 @@ def interval_summary(merged: DataFrame) -> DataFrame:
     )
 
 
+def _bits_below(k: Column) -> Column:
+    """The lowest k of 64 bits."""
+    every = F.lit(-1).cast("long")
+    ones = F.call_function("shiftrightunsigned", every, (64 - k).cast("int"))
+    return F.when(k <= 0, F.lit(0).cast("long")).when(k >= 64, every).otherwise(ones)
+
+
 def interval_bins(merged: DataFrame, bin_size: int = LOOKUP_BIN) -> DataFrame:
-    """One row per (contig, bin) with the merged intervals touching it.
+    """One row per (contig, bin) with a bit for each of its ``bin_size`` positions, in 64-bit words.
 
-    Merged intervals neither overlap nor touch, so a bin lists at most ``bin_size / 2``.
+    Merged intervals neither overlap nor touch, so a bin gathers at most ``bin_size / 2``
+    of them before they become bits; a row is ``bin_size / 8`` bytes whatever it covers.
     """
-    return (
+    spans = (
         merged.where(F.col("end") > F.col("start"))
         .select(
             prefixed_contig(F.col("chrom")).alias("_contig"),
@@ -88,26 +98,45 @@ def interval_bins(merged: DataFrame, bin_size: int = LOOKUP_BIN) -> DataFrame:
             ).alias("_bin"),
         )
         .groupBy("_contig", "_bin")
-        .agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+        .agg(F.collect_list(F.struct((F.col("start") - F.col("_bin") * bin_size).alias("a"), (F.col("end") - F.col("_bin") * bin_size).alias("b"))).alias("_spans"))
     )
+    word = lambda i: F.aggregate(
+        "_spans", F.lit(0).cast("long"),
+        lambda bits, s: bits.bitwiseOR(_bits_below(s["b"] - 64 * i).bitwiseAND(F.bitwise_not(_bits_below(s["a"] - 64 * i)))),
+    )
+    words = F.transform(F.sequence(F.lit(0), F.lit((bin_size - 1) // 64)), word)
+    return spans.select("_contig", "_bin", words.alias("_bits"))
 
 
-def flag_inside(
-    points: DataFrame, merged: DataFrame, spread_on: list[str], name: str = "inside",
-    bin_size: int = LOOKUP_BIN, **skew,
-) -> DataFrame:
-    """Add whether each 1-based position lies in a merged interval."""
-    placed = points.withColumns(
+def _placed(points: DataFrame, bin_size: int) -> DataFrame:
+    return points.withColumns(
         {
             "_contig": prefixed_contig(F.col("chrom")),
             "_bin": F.floor((F.col("pos") - 1) / bin_size),
         }
     )
-    joined = lookup(placed, interval_bins(merged, bin_size), ["_contig", "_bin"], spread_on, **skew)
-    hit = F.exists(
-        "_spans", lambda s: (s["start"] <= F.col("pos") - 1) & (F.col("pos") - 1 < s["end"])
-    )
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_contig", "_bin", "_spans")
+
+
+def _bit_at_position(bin_size: int) -> Column:
+    at = F.col("pos") - 1 - F.col("_bin") * bin_size
+    word = F.get("_bits", F.floor(at / 64).cast("int"))
+    hit = F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.coalesce(hit, F.lit(False))
+
+
+def flag_inside(
+    points: DataFrame, merged: DataFrame, spread_on: list[str], name: str = "inside",
+    bin_size: int = LOOKUP_BIN, **skew,
+) -> DataFrame:
+    """Add whether each 1-based position lies in a merged interval."""
+    joined = lookup(_placed(points, bin_size), interval_bins(merged, bin_size), ["_contig", "_bin"], spread_on, **skew)
+    return joined.withColumn(name, _bit_at_position(bin_size)).drop("_contig", "_bin", "_bits")
+
+
+def restrict_wide_rows(points: DataFrame, merged: DataFrame, spread_on: list[str], bin_size: int = WIDE_BIN) -> DataFrame:
+    """Rows inside the intervals, for rows that are costly to move: the bit maps go to them if they are small."""
+    inside = attach(_placed(points, bin_size), interval_bins(merged, bin_size), ["_contig", "_bin"], spread_on)
+    return inside.where(_bit_at_position(bin_size)).drop("_contig", "_bin", "_bits")
 
 
 def restrict_to_intervals(points: DataFrame, merged: DataFrame, spread_on: list[str], **skew) -> DataFrame:

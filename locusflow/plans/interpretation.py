@@ -45,10 +45,10 @@ class Knowledge:
 def annotate(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, carried: bool = False) -> ev.LocusJoins:
     """Everything the rarity and impact filters need, for all calls given.
 
-    One salted exchange of the calls serves every store. With ``carried``, evidence in
+    One exchange of the calls serves every store. With ``carried``, evidence in
     INFO goes before store evidence.
     """
-    joins = ev.LocusJoins(calls)
+    joins = ev.LocusJoins(ev.flag_covered(calls, k.coverage), counted=calls)
     ev.join_frequency(joins, k.frequency)
     ev.join_assertions(joins, k.assertions)
     ev.join_local_frequency(joins, k.local_frequency)

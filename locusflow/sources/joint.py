@@ -8,67 +8,79 @@ from pyspark.sql import functions as F
 from locusflow.functions.binding import let
 from locusflow.functions.info import info_map, per_allele
 from locusflow.functions.keys import reportable_allele
-from locusflow.operators.intervals import restrict_to_intervals
+from locusflow.operators.intervals import restrict_wide_rows
 from locusflow.operators.quality import passes_filter
-from locusflow.operators.skew import spread_lookup
+from locusflow.operators.skew import attach
 from locusflow.sources.vcf import file_headers, parse_records
 
 c = F.col
 
 
-def _sample_rows(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    records = restrict_to_intervals(parse_records(lines), regions, ["file", "line_no"])
-    named = spread_lookup(records, file_headers(lines).select("file", "sample_names"), ["file"], "line_no")
-    return named.select("*", F.posexplode("sample_fields").alias("sample_at", "sample_text")).withColumn(
-        "sample_id", F.get("sample_names", c("sample_at"))
-    )
-
+def _records(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """Records inside the regions with the names of their file's samples; no text is moved for either."""
+    inside = restrict_wide_rows(parse_records(lines), regions, ["file", "line_no"])
+    return attach(inside, file_headers(lines).select("file", "sample_names"), ["file"], ["line_no"])
 
-def _field(name: str) -> Column:
-    names, values = F.split("format", ":"), F.split("sample_text", ":")
-    at = F.array_position(names, F.lit(name)).cast("int")
-    return F.when(at > 0, F.get(values, at - 1))
 
+def _carriers(alts: Column) -> Column:
+    """(sample_at, allele_no, sample_value) of every sample for every reportable ALT it carries.
 
-def _carried(rows: DataFrame) -> DataFrame:
-    """One row per carried, reportable ALT with a bi-allelic genotype and depths."""
-    alleles = F.split(F.translate(_field("GT"), "|", "/"), "/")
-    numbers = F.array_distinct(
-        F.filter(F.transform(alleles, lambda a: a.try_cast("int")), lambda a: a > 0)
-    )
-    split = rows.withColumns({"alleles": alleles, "alt_list": F.split("alts", ",")}).select(
-        "*", F.explode(F.sort_array(numbers)).alias("allele_no")
-    )
-    copies = F.size(F.filter("alleles", lambda a: a == c("allele_no").cast("string")))
-    depths = F.split(_field("AD"), ",")
-    paired = F.concat_ws(",", F.get(depths, F.lit(0)), F.get(depths, c("allele_no")))
-    dot = F.lit(".")
-    return (
-        split.withColumn("alt", F.get("alt_list", c("allele_no") - 1))
-        .where(c("alt").isNotNull() & reportable_allele(c("alt")))
-        .withColumn(
-            "sample_value",
-            F.concat_ws(
-                ":",
-                F.when(copies == 2, "1/1").otherwise("0/1"),
-                F.coalesce(_field("DP"), dot),
-                F.coalesce(_field("GQ"), dot),
-                F.when(F.size(depths) > c("allele_no"), paired).otherwise(dot),
-            ),
-        )
+    Read inside the record's array of sample fields, so that non-carriers never become
+    rows. Values have a bi-allelic genotype and depths.
+    """
+    dot, fields = F.lit("."), ("GT", "AD", "DP", "GQ")
+
+    def of_sample(at: Column, alt_list: Column):
+        def entries(text: Column, sample_at: Column) -> Column:
+            def with_values(values: Column) -> Column:
+                own = {f: F.when(at[f] > 0, F.get(values, at[f] - 1)) for f in fields}
+                parts = F.struct(
+                    F.split(F.translate(own["GT"], "|", "/"), "/").alias("alleles"), F.split(own["AD"], ",").alias("depths"),
+                    F.coalesce(own["DP"], dot).alias("dp"), F.coalesce(own["GQ"], dot).alias("gq"),
+                )
+                return let(parts, lambda p: carried(p, sample_at, alt_list))
+
+            return let(F.split(text, ":"), with_values)
+
+        return entries
+
+    def carried(p: Column, sample_at: Column, alt_list: Column) -> Column:
+        numbers = F.sort_array(F.array_distinct(F.filter(F.transform(p["alleles"], lambda a: a.try_cast("int")), lambda a: a > 0)))
+
+        def entry(k: Column) -> Column:
+            copies = F.size(F.filter(p["alleles"], lambda a: a == k.cast("string")))
+            pair = F.concat_ws(",", F.get(p["depths"], F.lit(0)), F.get(p["depths"], k))
+            value = F.concat_ws(
+                ":", F.when(copies == 2, "1/1").otherwise("0/1"), p["dp"], p["gq"],
+                F.when(F.size(p["depths"]) > k, pair).otherwise(dot),
+            )
+            return F.struct(sample_at.alias("sample_at"), k.alias("allele_no"), value.alias("sample_value"))
+
+        shown = lambda k: let(F.get(alt_list, k - 1), lambda alt: alt.isNotNull() & reportable_allele(alt))
+        return F.transform(F.filter(numbers, shown), entry)
+
+    names = F.split("format", ":")
+    places = let(names, lambda n: F.struct(*[F.array_position(n, F.lit(f)).cast("int").alias(f) for f in fields]))
+    each = let(
+        F.struct(places.alias("at"), F.split(alts, ",").alias("alts")),
+        lambda b: F.transform("sample_fields", of_sample(b["at"], b["alts"])),
     )
+    return F.flatten(F.filter(each, lambda x: x.isNotNull()))
 
 
-KEPT = ["file", "line_no", "sample_id", "chrom", "pos", "ref", "alt", "info_text", "sample_value"]
-
+def _carrier_rows(records: DataFrame) -> DataFrame:
+    """One row per carrier and ALT; what ``records`` holds by ALT (``info_texts``) is picked, not computed again."""
+    found = records.select("*", F.explode(_carriers(c("alts"))).alias("_c"))
+    return found.select(
+        "file", "line_no", F.get("sample_names", c("_c.sample_at")).alias("sample_id"), "chrom", "pos", "ref",
+        F.get(F.split("alts", ","), c("_c.allele_no") - 1).alias("alt"),
+        F.get("info_texts", c("_c.allele_no") - 1).alias("info_text"), c("_c.sample_value").alias("sample_value"),
+    )
 
-def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str]) -> DataFrame:
-    """Carrier rows of every sample of a joint file.
 
-    Frequencies are the group-maximum ones, or the call set's own where those are missing;
-    consequence entries are kept for the carried allele and renumbered to 1.
-    """
-    info, at = c("info"), c("allele_no") - 1
+def _info_of_allele(vep_fields: list[str], number: Column) -> Column:
+    """The INFO text of one ALT (from 1) of a record whose parsed INFO is ``info``."""
+    info, at = c("info"), number - 1
     value = lambda key: per_allele(F.element_at(info, key), at)
     usable = lambda x: F.when((x != ".") & (x != ""), x)
     by_group = usable(value("gnomad_AF_popmax"))
@@ -77,14 +89,14 @@ def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str])
     text = lambda x: F.coalesce(usable(x), F.lit("."))
     number_at = vep_fields.index("ALLELE_NUM")
     entries = F.transform(F.split(F.element_at(info, "vep"), ","), lambda e: F.split(e, "[|]"))
-    mine = F.filter(entries, lambda f: F.get(f, F.lit(number_at)) == c("allele_no").cast("string"))
+    mine = F.filter(entries, lambda f: F.get(f, F.lit(number_at)) == number.cast("string"))
     renumbered = F.transform(
         mine,
         lambda f: F.array_join(
             F.transform(f, lambda x, i: F.when(i == number_at, "1").otherwise(x)), "|"
         ),
     )
-    out = F.concat_ws(
+    return F.concat_ws(
         ";",
         F.concat(F.lit("gnomad_AF="), text(F.coalesce(by_group, value("AF")))),
         F.concat(F.lit("gnomad_AC="), text(pick("AC"))),
@@ -93,11 +105,21 @@ def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str])
         F.concat(F.lit("gnomad_popmax="), F.when(own, "hgdp_tgp").otherwise(text(value("gnomad_popmax")))),
         let(renumbered, lambda kept: F.when(F.size(kept) > 0, F.concat(F.lit("CSQ="), F.array_join(kept, ",")))),
     )
-    rows = _carried(_sample_rows(lines, regions).withColumn("info", info_map(c("info_text"))))
-    return rows.withColumn("info_text", out).select(*KEPT)
+
+
+def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str]) -> DataFrame:
+    """Carrier rows of every sample of a joint file.
+
+    Frequencies are the group-maximum ones, or the call set's own where those are missing;
+    consequence entries are kept for the carried allele and renumbered to 1. INFO is
+    parsed once a record and written once an ALT, before samples become rows.
+    """
+    records = _records(lines, regions).withColumn("info", info_map(c("info_text")))
+    numbers = F.sequence(F.lit(1), F.size(F.split("alts", ",")))
+    return _carrier_rows(records.withColumn("info_texts", F.transform(numbers, lambda k: _info_of_allele(vep_fields, k))))
 
 
 def passing_carriers(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Carrier rows of PASS records, re-emitted bi-allelic without INFO."""
-    rows = _carried(_sample_rows(lines, regions).where(passes_filter(c("filter_status"))))
-    return rows.withColumn("info_text", F.lit(".")).select(*KEPT)
+    records = _records(lines, regions).where(passes_filter(c("filter_status")))
+    return _carrier_rows(records.withColumn("info_texts", F.transform(F.split("alts", ","), lambda _: F.lit("."))))

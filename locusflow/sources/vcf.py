@@ -9,7 +9,7 @@ from locusflow.functions.consequences import FIELDS, effect_of
 from locusflow.functions.binding import let
 from locusflow.functions.info import info_map
 from locusflow.functions.keys import reportable_allele, zygosity
-from locusflow.operators.skew import spread_lookup
+from locusflow.operators.skew import attach
 from locusflow.sources.lines import read_lines
 
 CALL_COLUMNS = [
@@ -21,8 +21,10 @@ CALL_COLUMNS = [
 BUILD_TOKENS = {"GRCh38": ("grch38", "hg38"), "GRCh37": ("grch37", "hg19", "b37", "g1k_v37")}
 
 
-def read_vcf(spark: SparkSession, paths, sample: str | None = None, all_samples: bool = False) -> DataFrame:
-    return parse_calls(read_lines(spark, paths), sample, all_samples)
+def read_vcf(
+    spark: SparkSession, paths, sample: str | None = None, all_samples: bool = False, carriers_only: bool = False
+) -> DataFrame:
+    return parse_calls(read_lines(spark, paths), sample, all_samples, carriers_only)
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
@@ -134,26 +136,24 @@ def _proband(sample: str | None) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.raise_error(missing).cast("int"))
 
 
-def parse_calls(lines: DataFrame, sample: str | None = None, all_samples: bool = False) -> DataFrame:
+def with_header(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """Records with what their file's header says; the header table goes to the records, not the text to it."""
+    return attach(records, file_headers(lines), ["file"], ["line_no"])
+
+
+def parse_calls(
+    lines: DataFrame, sample: str | None = None, all_samples: bool = False, carriers_only: bool = False
+) -> DataFrame:
     """Split multi-allelic records and pair every reported allele with its sample(s).
 
     One sample per file by default (the named column, else the first); with
-    ``all_samples`` every sample column of a joint file becomes a row.
+    ``all_samples`` every sample column of a joint file becomes a row, or only those that
+    carry the allele with ``carriers_only``. Everything that belongs to the allele is
+    parsed once; samples are chosen in the record's array and become rows last.
     """
-    records = spread_lookup(parse_records(lines), file_headers(lines), ["file"], "line_no")
-    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.vcf(\.b?gz)?$", "")
-    if all_samples:
-        # A record may end before its sample columns; every named sample still gets its row.
-        columns = F.when(F.size("sample_names") > 0, F.col("sample_names")).otherwise(F.col("sample_fields"))
-        per_sample = records.select("*", F.posexplode_outer(columns).alias("sample_at", "_name")).withColumn(
-            "sample_text", F.get("sample_fields", F.col("sample_at"))
-        )
-    else:
-        per_sample = records.withColumn("sample_at", _proband(sample)).withColumn(
-            "sample_text", F.get("sample_fields", F.col("sample_at"))
-        )
     alleles = (
-        per_sample.withColumn("n_alts", F.size(F.split("alts", ",")))
+        with_header(parse_records(lines), lines)
+        .withColumn("n_alts", F.size(F.split("alts", ",")))
         .select("*", F.posexplode(F.split("alts", ",")).alias("alt_index", "alt"))
         .where(reportable_allele(F.col("alt")))
         .withColumn("info", info_map(F.col("info_text")))
@@ -164,9 +164,25 @@ def parse_calls(lines: DataFrame, sample: str | None = None, all_samples: bool =
                 F.col("alt_index"), F.col("n_alts"),
             ),
         )
-        .withColumn("metrics", sample_metrics(F.col("format"), F.col("sample_text"), F.col("alt_index")))
     )
-    return alleles.select(
+    metrics = lambda text: sample_metrics(F.col("format"), text, F.col("alt_index"))
+    if all_samples:
+        # A record may end before its sample columns; every named sample still gets its row.
+        columns = F.when(F.size("sample_names") > 0, F.col("sample_names")).otherwise(F.col("sample_fields"))
+        samples = F.transform(
+            columns, lambda _, i: F.struct(i.alias("at"), metrics(F.get("sample_fields", i)).alias("metrics"))
+        )
+        if carriers_only:
+            rows = alleles.select("*", F.explode(F.filter(samples, lambda s: s["metrics"]["zygosity"].isNotNull())).alias("_s"))
+        else:
+            rows = alleles.select("*", F.explode_outer(samples).alias("_s"))
+        rows = rows.withColumns({"sample_at": F.col("_s.at"), "metrics": F.col("_s.metrics")})
+    else:
+        rows = alleles.withColumn("sample_at", _proband(sample)).withColumn(
+            "metrics", metrics(F.get("sample_fields", F.col("sample_at")))
+        )
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.vcf(\.b?gz)?$", "")
+    return rows.select(
         "file",
         "line_no",
         F.coalesce(F.get("sample_names", F.col("sample_at")), stem).alias("sample_id"),
