@@ -24,6 +24,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ BESIDE, NEAREST, NEAR_ROUNDS = 16, 12, 1
 #: Posting lists of so many rows get exact bounds before they are joined: shingles that no other set of such
 #: lists has, and bit maps of so many 64-bit words.
 LONG, MAP_WORDS = 50, 16
+#: Bytes of text of the pairs that are confirmed at once, unless one pair has more.
+CONFIRM_BYTES = 4 << 20
 #: Up to so many ids of candidates are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -337,20 +341,31 @@ def across_components(
 
 
 def _confirm(percent: int):
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps the pairs whose sets reach the threshold, a few megabytes of text at a time."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(dict.fromkeys([*batch["text_a"], *batch["text_b"]]))
-            sets = dict(zip(texts, sets_of(texts)))
-            keep = []
-            for s, t in zip(batch["text_a"], batch["text_b"]):
-                s, t = sets[s], sets[t]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            both = [batch.column(c) for c in ("text_a", "text_b")]
+            size = np.cumsum(sum(pc.binary_length(x).to_numpy(zero_copy_only=False) for x in both))
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CONFIRM_BYTES, side="right")))
+                first, second = (x.slice(at, to - at).to_pylist() for x in both)
+                texts = list(dict.fromkeys([*first, *second]))
+                sets = dict(zip(texts, sets_of(texts)))
+                keep = [_linked(sets[s], sets[t], percent) for s, t in zip(first, second)]
+                yield batch.slice(at, to - at).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = to
+        pa.default_memory_pool().release_unused()  # the worker serves other stages next
 
     return confirm
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents in ``ids``; few ids travel to the documents, many meet them in a shuffle."""
     few = ids.count() <= BROADCAST_IDS
@@ -364,7 +379,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
     texts = picked(documents, ids)
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").mapInPandas(_confirm(percent), "a bigint, b bigint").distinct()
+    return pairs.join(first, "a").join(second, "b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
