@@ -47,7 +47,9 @@ def with_locus(df: DataFrame) -> DataFrame:
 
 
 def locus_from_key(df: DataFrame, key: str = "key") -> DataFrame:
-    """Split a textual variant key into the same four join columns."""
+    """Split a textual variant key into the same four join columns, unless they are there."""
+    if set(LOCUS) <= set(df.columns):
+        return df
     parts = F.split(F.col(key), "-")
     return df.withColumns(
         {

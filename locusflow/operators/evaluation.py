@@ -188,14 +188,25 @@ def case_signals(answer_key: DataFrame, routed: DataFrame) -> DataFrame:
     return filled.withColumns({"engine_only": engine, "surfaced": engine | c("clinvar_flag")})
 
 
+def with_decoy_signals(answer_key: DataFrame, own: DataFrame, decoy: DataFrame) -> DataFrame:
+    """Signals of every labelled case, and which of them it shows with a phenotype that is not its own.
+
+    ``own`` and ``decoy`` are the routed findings of the two runs; the answer key has one row per sample.
+    """
+    lent = case_signals(answer_key, decoy).select(
+        "sample_id", c("pheno_primary").alias("decoy_pheno_primary"), c("surfaced").alias("decoy_surfaced")
+    )
+    return case_signals(answer_key, own).join(lent, "sample_id")
+
+
 def adversarial_summary(signals: DataFrame) -> DataFrame:
     """Rates over all cases (whole percent, rounded down) and over-call figures.
 
-    The median takes the upper middle value. Needs ``decoy_pheno_primary`` beside the
-    columns of :func:`case_signals`.
+    The median takes the upper middle value. Needs ``decoy_pheno_primary`` and ``decoy_surfaced``
+    beside the columns of :func:`case_signals` (:func:`with_decoy_signals`).
     """
     n = F.count(F.lit(1))
-    names = ["surfaced", "engine_only", "engine_plp", "pheno_primary", "decoy_pheno_primary"]
+    names = ["surfaced", "engine_only", "engine_plp", "pheno_primary", "decoy_pheno_primary", "decoy_surfaced"]
     hits = [F.count_if(c(x)).alias(f"n_{x}") for x in names]
     percents = [F.floor(F.count_if(c(x)) * 100 / F.greatest(n, F.lit(1))).cast("bigint").alias(f"pct_{x}") for x in names]
     # percentile() interpolates. The window runs over one row per distinct count of calls.

@@ -25,7 +25,6 @@ from locusflow.functions.keys import LOCUS, prefixed_contig, with_locus
 from locusflow.operators.health import STALE_AFTER_DAYS
 
 CONTIG = "contig"
-BUCKETS = 256
 SCOPE = ["region", "bed", "preset"]
 
 
@@ -130,17 +129,30 @@ def _rows_by_contig(spark: SparkSession, folder: Folder, build: str) -> dict[str
 
 def write_version(
     store: DataFrame, path: str, name: str = "store", source: dict | None = None, cadence: str = "frozen",
-    scopes: dict[str, dict] | None = None, buckets: int = BUCKETS, built_at: str | None = None,
+    scopes: dict[str, dict] | None = None, buckets: int | None = None, built_at: str | None = None,
 ) -> int:
-    """Commit ``store`` (one row per locus: chrom, pos, ref, alt and values) as the whole content of a new version."""
+    """Commit ``store`` (one row per locus: chrom, pos, ref, alt and values) as the whole content of a new version.
+
+    A join keeps the store where it lies if it has no fewer buckets than the session has
+    shuffle partitions, so that is the default number.
+    """
     spark = store.sparkSession
     before = manifest(spark, path) or {"version": 0}
+    buckets = buckets or _session_buckets(spark)
     build = _write(store, path, buckets)
     rows = _rows_by_contig(spark, Folder(spark, path), build)
     contigs = {c: _contig(build, c, n, (scopes or {}).get(c)) for c, n in sorted(rows.items())}
     return commit(spark, path, _content(store, name, source, cadence, buckets, contigs, built_at), before["version"])
 
 
+def _session_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def prefixed(contig: str) -> str:
+    return contig if contig.lower().startswith("chr") else f"chr{contig}"
+
+
 def _contig(build: str, contig: str, rows: int, scope: dict | None) -> dict:
     return {"folder": f"{build}/{CONTIG}={contig}" if rows else None, "rows": rows, "scope": {k: (scope or {}).get(k) for k in SCOPE}}
 
@@ -162,7 +174,7 @@ def pending_contigs(known: dict | None, wanted: dict[str, dict]) -> list[str]:
 
 def extend_version(
     store: DataFrame, path: str, wanted: dict[str, dict], name: str = "store", source: dict | None = None,
-    cadence: str = "frozen", buckets: int = BUCKETS,
+    cadence: str = "frozen", buckets: int | None = None,
 ) -> list[str]:
     """Build the contigs whose scope changed and commit them with all others unchanged; returns their names.
 
@@ -171,6 +183,7 @@ def extend_version(
     """
     spark = store.sparkSession
     before = manifest(spark, path)
+    buckets = buckets or (before["buckets"] if before else _session_buckets(spark))
     due = pending_contigs(before, wanted)
     if not due:
         return []
@@ -221,7 +234,7 @@ def read_version(spark: SparkSession, path: str, contigs: list[str] | None = Non
             spark.sql(f"ALTER TABLE {name} ADD PARTITION (`{CONTIG}`='{c}') LOCATION '{path}/{x['folder']}'")
     rows = spark.table(name)
     if contigs is not None:
-        rows = rows.where(F.col(CONTIG).isin([c if c.lower().startswith("chr") else f"chr{c}" for c in contigs]))
+        rows = rows.where(F.col(CONTIG).isin([prefixed(c) for c in contigs]))
     return rows.drop(CONTIG)
 
 

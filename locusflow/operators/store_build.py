@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
-from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.functions.keys import prefixed_contig
+from locusflow.functions.keys import LOCUS, prefixed_contig
+from locusflow.operators import laid_store as ls
+from locusflow.operators.health import STALE_AFTER_DAYS
 from locusflow.operators.ranking import first_per_key
 from locusflow.settings import CORE_CONTIGS, DEFAULTS, POPMAX_EXCLUDED, POPMAX_GROUPS, Thresholds
 
@@ -137,49 +137,13 @@ def tolerant_union(frames: list[DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Writes
 # ---------------------------------------------------------------------------
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, Path = _filesystem(spark, path)
-    out = fs.create(Path(path), True)
-    out.write(bytearray(text, "utf-8"))
-    out.close()
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small sidecar file, or None when it is missing."""
-    fs, Path = _filesystem(spark, path)
-    if not fs.exists(Path(path)):
-        return None
-    return "\n".join(r.value for r in spark.read.text(path).collect())
-
-
 def write_store(store: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write one row per locus, partitioned by contig and sorted by position, then swap.
-
-    Range partitioning on contig and position spreads long contigs over many tasks and
-    keeps row-group statistics tight. The old store stays until the new one is complete.
-    """
-    keys = ["chrom", "pos"]
-    spread = store.repartitionByRange(partitions, *keys) if partitions else store.repartitionByRange(*keys)
-    staging = f"{path}.building-{uuid.uuid4().hex[:8]}"
-    spread.sortWithinPartitions(*SITE).write.partitionBy("chrom").parquet(staging)
-    fs, Path = _filesystem(store.sparkSession, path)
-    old = f"{path}.old-{uuid.uuid4().hex[:8]}"
-    replaced = fs.exists(Path(path))
-    if replaced:
-        fs.rename(Path(path), Path(old))
-    fs.rename(Path(staging), Path(path))
-    if replaced:
-        fs.delete(Path(old), True)
+    """Commit one row per locus as the next version of a store; readers see the old one until then."""
+    ls.write_version(store, path, buckets=partitions)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return ls.read_version(spark, path).drop(*LOCUS)
 
 
 def contigs_to_build(wanted: DataFrame, built: DataFrame) -> DataFrame:
@@ -190,30 +154,21 @@ def contigs_to_build(wanted: DataFrame, built: DataFrame) -> DataFrame:
     return wanted.alias("w").join(built.alias("b"), same, "left_anti")
 
 
-def extend_store(store: DataFrame, path: str, wanted: DataFrame, scopes_path: str) -> DataFrame:
-    """Build only the contigs whose scope changed and record their scopes.
+def extend_store(store: DataFrame, path: str, wanted: DataFrame, scopes_path: str | None = None) -> DataFrame:
+    """Build only the contigs whose scope changed, as a new version; returns their scopes.
 
-    Returns the contigs written. Other partitions of the store stay as they are.
+    ``wanted`` has one row per contig. Scopes are kept in the version's manifest;
+    ``scopes_path`` also gets them as a table.
     """
     spark = store.sparkSession
-    fs, Path = _filesystem(spark, scopes_path)
-    schema = wanted.select("chrom", "region", "bed", "preset").schema
-    built = spark.read.schema(schema).parquet(scopes_path) if fs.exists(Path(scopes_path)) else spark.createDataFrame([], schema)
-    # One row per contig: at most a few hundred, and read before the scopes are rewritten.
-    known = spark.createDataFrame(built.collect(), schema)
-    pending = spark.createDataFrame(contigs_to_build(wanted.select(schema.names), known).collect(), schema)
-    part = store.join(pending.select("chrom"), "chrom", "left_semi")
-    (
-        part.repartitionByRange("chrom", "pos")
-        .sortWithinPartitions(*SITE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("chrom")
-        .parquet(path)
-    )
-    kept = known.join(pending.select("chrom"), "chrom", "left_anti")
-    kept.unionByName(pending).coalesce(1).write.mode("overwrite").parquet(scopes_path)
-    return pending
+    asked = wanted.select("chrom", *ls.SCOPE)
+    scopes = {ls.prefixed(r["chrom"]): {k: r[k] for k in ls.SCOPE} for r in asked.collect()}
+    due = ls.extend_version(store, path, scopes)
+    if scopes_path is not None:
+        held = ls.manifest(spark, path)["contigs"]
+        rows = [(contig, *(x["scope"][k] for k in ls.SCOPE)) for contig, x in held.items()]
+        spark.createDataFrame(rows, asked.schema).coalesce(1).write.mode("overwrite").parquet(scopes_path)
+    return asked.where(prefixed_contig(c("chrom")).isin(due))
 
 
 def coverage_mode(built: DataFrame, requested: DataFrame, region: str | None, bed: str | None) -> DataFrame:
@@ -239,19 +194,30 @@ def coverage_mode(built: DataFrame, requested: DataFrame, region: str | None, be
 
 
 def build_manifest(store: DataFrame, name: str, source: dict, cadence: str, built_at: str | None = None) -> dict:
-    """Row count, contigs and schema of a store with its source and refresh cadence."""
-    row = store.agg(F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set("chrom")).alias("chroms")).first()
-    return {
-        "store": name,
-        "format": "parquet",
-        "built_at": built_at or datetime.now(timezone.utc).isoformat(timespec="seconds"),
-        "source": source,
-        "rows": row["rows"],
-        "chroms": row["chroms"],
-        "schema": [x.lower() for x in store.columns],
-        "update": {"cadence": cadence, "stale_after_days": 14 if cadence == "weekly" else None},
-    }
+    """What a store holds and where it comes from, put together as JSON in the aggregation that counts it."""
+    update = F.struct(F.lit(cadence).alias("cadence"), F.lit(STALE_AFTER_DAYS.get(name)).cast("int").alias("stale_after_days"))
+    built = F.lit(built_at) if built_at else F.date_format(F.to_utc_timestamp(F.now(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    counted = store.agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("chrom")).alias("chroms"))
+    described = counted.select(
+        F.to_json(
+            F.struct(
+                F.lit(name).alias("store"), F.lit("parquet").alias("format"), built.alias("built_at"), "rows", "chroms",
+                F.array(*[F.lit(f.name.lower()) for f in store.schema]).alias("schema"), update.alias("update"),
+            ),
+            {"ignoreNullFields": "false"},
+        ).alias("text")
+    )
+    return json.loads(described.first()["text"]) | {"source": source}
 
 
 def write_sidecar(spark: SparkSession, path: str, content: dict) -> None:
-    _write_text(spark, path, json.dumps(content, indent=2))
+    """A JSON text as a one-file folder, replaced whole."""
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small sidecar, or None when it is missing."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    if not ls.Folder(spark, parent).exists(name):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path).collect())

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.functions.keys import LOCUS, locus_from_key, with_locus
 from locusflow.operators import evidence as ev
+from locusflow.operators.bloom import WORTHWHILE_BYTES, planned_bytes, pruned
 from locusflow.operators.combine import classify
-from locusflow.operators.durable import durable
+from locusflow.operators.durable import durable, stored
 from locusflow.operators.phenotype import (
     ancestor_closure,
     information_content,
@@ -22,6 +24,7 @@ from locusflow.operators.quality import passing_calls
 from locusflow.operators.routing import route
 from locusflow.operators.selection import candidates
 from locusflow.settings import DEFAULTS, Thresholds
+from locusflow.sources.vcf import parse_calls
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,7 @@ def find_candidates(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, ca
     """
     joins = annotate(passing_calls(calls, t), k, t, carried)
     joins.frame = candidates(joins.frame, t)
+    k = _near_candidates(joins, k)
     own = {x: joins.frame[x] for x in ("am_pathogenicity", "am_class", "revel", "cadd_phred") if x in joins.frame.columns}
     if own:
         return _trusted(_fill_predictors(joins, k))
@@ -78,6 +82,20 @@ def find_candidates(calls: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, ca
     return _trusted(joins.done())
 
 
+def _near_candidates(joins: ev.LocusJoins, k: Knowledge) -> Knowledge:
+    """Knowledge whose late stores lack most loci that are no candidate's.
+
+    Only stores whose shuffle costs more than writing the candidates once are pruned.
+    """
+    late = {"missense": with_locus(k.missense), "predictors": locus_from_key(k.predictors)}
+    worth = {n: df for n, df in late.items() if planned_bytes(df) >= WORTHWHILE_BYTES}
+    if not worth:
+        return k
+    joins.frame = durable(joins.frame)
+    loci = joins.frame.select(*LOCUS)
+    return replace(k, **{n: pruned(df, loci, LOCUS) for n, df in worth.items()})
+
+
 def _fill_predictors(joins: ev.LocusJoins, k: Knowledge) -> DataFrame:
     """Store scores only where INFO carried none; REVEL and CADD change over together."""
     names = ("am_pathogenicity", "am_class", "revel", "cadd_phred")
@@ -100,17 +118,44 @@ def _fill_predictors(joins: ev.LocusJoins, k: Knowledge) -> DataFrame:
     return filled.withColumn("evidence_source", F.transform_values("evidence_source", source))
 
 
+def with_gene_evidence(found: DataFrame, k: Knowledge) -> DataFrame:
+    profile = ev.gene_profile(
+        found, k.constraint, k.haploinsufficient, inheritance_modes(k.gene_terms), k.secondary_genes
+    )
+    return ev.with_gene_profile(found, profile)
+
+
 def classify_candidates(
     found: DataFrame, patient_terms: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, explain: bool = False
 ) -> DataFrame:
     """Gene and phenotype evidence for the candidates, then the five-tier call."""
-    profile = ev.gene_profile(
-        found, k.constraint, k.haploinsufficient, inheritance_modes(k.gene_terms), k.secondary_genes
-    )
     closure = ancestor_closure(k.terms, k.is_a)
     content = durable(information_content(k.terms, k.gene_terms, closure))
-    scores = phenotype_scores(sample_gene_pairs(found), patient_terms, k.gene_terms, closure, content, t)
-    return classify(with_phenotype(ev.with_gene_profile(found, profile), scores), t, explain)
+    return _judged(with_gene_evidence(found, k), patient_terms, k, closure, content, t, explain)
+
+
+def _judged(profiled, patient_terms, k: Knowledge, closure, content, t: Thresholds, explain: bool = False) -> DataFrame:
+    scores = phenotype_scores(sample_gene_pairs(profiled), patient_terms, k.gene_terms, closure, content, t)
+    return classify(with_phenotype(profiled, scores), t, explain)
+
+
+def with_lent_phenotypes(
+    found: DataFrame, patient_terms: DataFrame, lent: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """Routed findings with each sample's own terms, and those it would have with another's.
+
+    ``lent`` (sample_id, decoy_sample_id) has one row per sample. Candidates and their gene
+    evidence are computed once and written; only the phenotype step and what follows from
+    it run twice.
+    """
+    profiled = durable(with_gene_evidence(found, k))
+    closure = ancestor_closure(k.terms, k.is_a)
+    content = durable(information_content(k.terms, k.gene_terms, closure))
+    others = patient_terms.select(F.col("sample_id").alias("decoy_sample_id"), "term")
+    borrowed = lent.select("sample_id", "decoy_sample_id").join(others, "decoy_sample_id").select("sample_id", "term")
+    runs = (durable(_judged(profiled, terms, k, closure, content, t)) for terms in (patient_terms, borrowed))
+    own, decoy = (route(judged, t) for judged in runs)
+    return own, decoy
 
 
 def interpret(
@@ -124,3 +169,16 @@ def interpret(
     """
     found = durable(find_candidates(calls, k, t, carried))
     return route(durable(classify_candidates(found, patient_terms, k, t, explain)), t)
+
+
+def interpret_text(
+    lines: DataFrame, patient_terms: DataFrame, k: Knowledge, t: Thresholds = DEFAULTS, explain: bool = False,
+    sample: str | None = None, all_samples: bool = False,
+) -> DataFrame:
+    """Routed findings straight from VCF lines (``file, line_no, value``).
+
+    The text is parsed once and the calls are written, so that the passes that need a few
+    columns of all calls read those columns only. Of joint files, carriers become calls.
+    """
+    calls = stored(parse_calls(lines, sample, all_samples, carriers_only=all_samples))
+    return interpret(calls, patient_terms, k, t, explain, carried=True)

@@ -648,34 +648,53 @@ def _(spark, d):
     return sb.group_maximum(sites).select("chrom", "pos", "ref", "alt", F.round("af", 9).alias("af"), "ac", "pop")
 
 
+_LOCAL_CHROM = "'chr' || split_part(key, '-', 1)"
+
+
 @query(
     "AGG25_covered_contigs",
-    """SELECT chrom FROM (SELECT chrom, 'exomes' AS s FROM freq_store UNION ALL SELECT chrom, 'genomes' FROM freq_store WHERE chrom <> 'chr7') x
-       GROUP BY chrom HAVING count(DISTINCT s) = 2""",
+    f"""SELECT chrom FROM (SELECT chrom, count(*) % 3 <> 0 AS whole FROM freq_store GROUP BY chrom) e
+        JOIN (SELECT {_LOCAL_CHROM} AS chrom, count(*) % 5 <> 0 AS whole FROM local_freq GROUP BY 1) g USING (chrom) WHERE e.whole AND g.whole""",
 )
 def _(spark, d):
-    store = inputs(spark, d).relation("freq_store")
-    return sb.covered_contigs(sb.merged_callsets(store, store.where(c("chrom") != "chr7")))
+    i = inputs(spark, d)
+    exomes, genomes = i.relation("freq_store"), _local_callset(i)
+    whole = lambda df, name, n: df.groupBy("chrom").agg((F.count(F.lit(1)) % n != 0).alias("complete")).withColumn("callset", F.lit(name))
+    complete = whole(exomes, "exomes", 3).unionByName(whole(genomes, "genomes", 5))
+    return sb.covered_contigs(sb.merged_callsets(exomes, genomes), complete)
+
+
+def _local_callset(i):
+    """The local table as a second call set of sites."""
+    parts = F.split("key", "-")
+    return i.relation("local_freq").select(
+        F.concat(F.lit("chr"), parts[0]).alias("chrom"), parts[1].cast("int").alias("pos"), parts[2].alias("ref"), parts[3].alias("alt"),
+        "af", F.lit(10).cast("bigint").alias("ac"), F.lit(3000).cast("bigint").alias("an"), F.lit(0).cast("bigint").alias("hom"),
+    )
 
 
 @query(
     "J17_two_callsets",
     f"""SELECT q.chrom, q.pos, q.ref, q.alt, round(coalesce(b.af, 0), 9) AS af, b.n IS NULL AS absent
         FROM (SELECT DISTINCT chrom, pos, ref, alt FROM calls) q LEFT JOIN (
-          SELECT chrom, pos, ref, alt, max(coalesce(af, 0)) AS af, max(coalesce(an, 0)) AS an, count(*) AS n
-          FROM (SELECT chrom, pos, ref, alt, af, an FROM freq_store WHERE chrom <> 'chr9') u GROUP BY chrom, pos, ref, alt) b
+          SELECT chrom, pos, ref, alt, max(af) AS af, count(*) AS n
+          FROM (SELECT chrom, pos, ref, alt, CASE WHEN ac % 7 = 0 THEN 0 ELSE af END AS af FROM freq_store
+            UNION ALL SELECT {_LOCAL_CHROM}, CAST(split_part(key, '-', 2) AS INT), split_part(key, '-', 3), split_part(key, '-', 4), af FROM local_freq) u
+          GROUP BY chrom, pos, ref, alt) b
           ON q.chrom = b.chrom AND q.pos = b.pos AND q.ref = b.ref AND q.alt = b.alt
-        WHERE q.chrom <> 'chr9' OR b.n IS NOT NULL""",
+        WHERE q.chrom <> 'chr9' OR b.af > 0""",
 )
 def _(spark, d):
     i = inputs(spark, d)
-    store = i.relation("freq_store").withColumn("hom", c("nhomalt")).where(c("chrom") != "chr9")
-    halves = sb.merged_callsets(store.where(c("ac") % 2 == 0), store.where(c("ac") % 2 == 1))
-    contigs = i.relation("freq_store").select("chrom").distinct()
-    readable = contigs.select(
+    uncalled = c("ac") % 7 == 0  # in the first call set, but with no alleles
+    exomes = i.relation("freq_store").withColumn("hom", c("nhomalt")).withColumns(
+        {"af": F.when(uncalled, F.lit(0.0)).otherwise(c("af")), "an": F.when(uncalled, F.lit(0)).otherwise(c("an"))}
+    )
+    readable = i.relation("freq_store").select("chrom").distinct().select(
         "chrom", F.explode(F.array(F.lit("exomes"), F.lit("genomes"))).alias("callset")
     ).withColumn("readable", ~((c("chrom") == "chr9") & (c("callset") == "genomes")))
-    return sb.resolve_callsets(i.calls, halves, readable).select("chrom", "pos", "ref", "alt", F.round("af", 9).alias("af"), "absent")
+    found = sb.resolve_callsets(i.calls, sb.merged_callsets(exomes, _local_callset(i)), readable)
+    return found.select("chrom", "pos", "ref", "alt", F.round("af", 9).alias("af"), "absent")
 
 
 @query(

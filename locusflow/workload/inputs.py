@@ -31,6 +31,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._kept: dict[str, DataFrame] = {}
+        self._shared: dict[str, object] = {}
         self._relations: dict[str, DataFrame] = {}
         self._views = register_tables(spark, sf_dir)
 
@@ -46,6 +47,12 @@ class Inputs:
             self._kept[name] = durable(build())
         return self._kept[name]
 
+    def once(self, name: str, build):
+        """Anything else that queries share, such as the path of a written store."""
+        if name not in self._shared:
+            self._shared[name] = build()
+        return self._shared[name]
+
     @property
     def calls(self) -> DataFrame:
         return self.relation("calls")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from locusflow.workload.relations import needed, oracle_relations
 
 _PLP = "(starts_with(lower({c}), 'pathogenic') OR starts_with(lower({c}), 'likely pathogenic'))"
@@ -223,6 +225,30 @@ SELECT chrom, min(start) AS start, max("end") AS "end" FROM (
 GROUP BY chrom, island""",
 }
 
+# The steps that depend on the phenotype once more, for cases that borrow the terms of the case 50 places on.
+_LENT = ("pheno", "scored", "strengths", "counted", "labelled", "tiered", "classified", "hits", "routed")
+_LENT_NAME = re.compile(rf"\b(FROM|JOIN) ({'|'.join(_LENT)}|patient_terms)\b")
+DECOYS = """SELECT a.sample_id, b.sample_id AS decoy_sample_id FROM (SELECT sample_id, row_number() OVER (ORDER BY case_no) - 1 AS i, count(*) OVER () AS n FROM cases) a
+  JOIN (SELECT sample_id, row_number() OVER (ORDER BY case_no) - 1 AS i FROM cases) b ON b.i = (a.i + 50) % a.n"""
+STEPS |= {f"decoy_{n}": _LENT_NAME.sub(r"\1 decoy_\2", STEPS[n]) for n in _LENT}
+STEPS["decoy_patient_terms"] = f"SELECT d.sample_id, p.term FROM ({DECOYS}) d JOIN patient_terms p ON p.sample_id = d.decoy_sample_id"
+
+# The whole analysis once more from VCF text: what the text does not carry is NULL, a missing depth is the sum
+# of the allele depths, and files that declare another build keep no evidence by coordinate.
+_TEXT = ("graded", "freq_joined", "freq_resolved", "annotated_all", "flagged", "found", "profiled", *_LENT)
+_TEXT_NAME = re.compile(rf"\b(FROM|JOIN) ({'|'.join(_TEXT)}|calls)\b")
+_BY_COORDINATE = (
+    "gnomad_af", "gnomad_ac", "gnomad_an", "gnomad_homozygotes", "gnomad_faf95", "gnomad_popmax_pop", "clinvar_significance", "clinvar_review_status",
+    "clinvar_accession", "clinvar_condition", "abraom_af", "revel", "cadd_phred", "am_pathogenicity", "am_class",
+)
+STEPS |= {f"text_{n}": _TEXT_NAME.sub(r"\1 text_\2", STEPS[n]) for n in _TEXT}
+STEPS["text_calls"] = "SELECT * REPLACE (CASE WHEN line_no % 5 = 0 THEN 100 ELSE depth END AS depth, NULL::VARCHAR AS exon) FROM calls"
+STEPS["text_annotated_all"] = (
+    "SELECT * REPLACE ("
+    + ", ".join(f"CASE WHEN CAST(substr(sample_id, 2) AS BIGINT) % 2 = 0 THEN {x} END AS {x}" for x in _BY_COORDINATE)
+    + f") FROM ({STEPS['text_annotated_all']}) t"
+)
+
 
 def statement(sql: str) -> str:
     """A complete statement: the SQL with every step and relation it needs."""

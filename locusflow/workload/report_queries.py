@@ -16,11 +16,16 @@ from locusflow.operators import quality as q
 from locusflow.operators import routing as rt
 from locusflow.operators import selection as sel
 from locusflow.operators import store_build as sb
+from locusflow.operators import laid_store as ls
+from locusflow.operators.durable import shared_path
+from locusflow.operators.evidence import LocusJoins
 from locusflow.operators.health import readiness, store_measures, store_status
+from locusflow.plans.interpretation import interpret_text, with_lent_phenotypes
 from locusflow.settings import DEFAULTS
 from locusflow.workload.inputs import inputs
 from locusflow.workload.oracle_steps import (
     BENIGN_AF,
+    DECOYS,
     FILTER_AF,
     KEY,
     PLP_SIG,
@@ -29,6 +34,7 @@ from locusflow.workload.oracle_steps import (
     stars,
 )
 from locusflow.workload.registry import query
+from locusflow.workload.source_queries import stored_call_lines
 
 c = F.col
 
@@ -242,6 +248,13 @@ def _(spark, d):
     return inputs(spark, d).routed().select(*_KEYS, "bucket")
 
 
+@query("ALL_text_to_findings", "SELECT sample_id, line_no, gene, tier, rule_path, bucket, carrier, probable_vus FROM text_routed")
+def _(spark, d):
+    i = inputs(spark, d)
+    found = interpret_text(stored_call_lines(i), i.patient_terms, i.knowledge)
+    return found.select(*_KEYS, "gene", "tier", "rule_path", "bucket", "carrier", "probable_vus")
+
+
 @query("RT2_carriers", "SELECT sample_id, line_no FROM routed WHERE carrier")
 def _(spark, d):
     return inputs(spark, d).routed().where("carrier").select(*_KEYS)
@@ -531,27 +544,30 @@ def _(spark, d):
     return evl.case_signals(i.relation("answer_key"), i.routed())
 
 
+_DECOY_SIGNALS = _SIGNALS.replace("FROM routed", "FROM decoy_routed")
+
+
 @query(
     "AGG21_adversarial_summary",
     f"""SELECT count(*) AS n_cases, count(*) FILTER (WHERE surfaced) AS n_surfaced, count(*) FILTER (WHERE eo) AS n_engine_only, count(*) FILTER (WHERE engine_plp) AS n_engine_plp,
-        count(*) FILTER (WHERE pheno_primary) AS n_pheno_primary, count(*) FILTER (WHERE decoy) AS n_decoy_pheno_primary,
+        count(*) FILTER (WHERE pheno_primary) AS n_pheno_primary, count(*) FILTER (WHERE decoy) AS n_decoy_pheno_primary, count(*) FILTER (WHERE decoy_up) AS n_decoy_surfaced,
         100 * count(*) FILTER (WHERE surfaced) // count(*) AS pct_surfaced, 100 * count(*) FILTER (WHERE eo) // count(*) AS pct_engine_only, 100 * count(*) FILTER (WHERE engine_plp) // count(*) AS pct_engine_plp,
         100 * count(*) FILTER (WHERE pheno_primary) // count(*) AS pct_pheno_primary, 100 * count(*) FILTER (WHERE decoy) // count(*) AS pct_decoy_pheno_primary,
+        100 * count(*) FILTER (WHERE decoy_up) // count(*) AS pct_decoy_surfaced,
         count(*) FILTER (WHERE clinvar_flag AND NOT eo) AS n_only_clinvar_flag, max(n_plp) AS over_call_max, min(n_plp) AS over_call_min,
         list_sort(list(n_plp))[1 + count(*) // 2] AS over_call_median
-        FROM (SELECT *, engine_plp OR pheno_primary AS eo, engine_plp OR pheno_primary OR clinvar_flag AS surfaced, n_plp % 2 = 0 AS decoy FROM {_SIGNALS} z) y""",
+        FROM (SELECT z.*, z.engine_plp OR z.pheno_primary AS eo, z.engine_plp OR z.pheno_primary OR z.clinvar_flag AS surfaced,
+            l.pheno_primary AS decoy, l.engine_plp OR l.pheno_primary OR l.clinvar_flag AS decoy_up
+          FROM {_SIGNALS} z JOIN {_DECOY_SIGNALS} l ON l.sample_id = z.sample_id) y""",
 )
 def _(spark, d):
     i = inputs(spark, d)
-    signals = evl.case_signals(i.relation("answer_key"), i.routed())
-    return evl.adversarial_summary(signals.withColumn("decoy_pheno_primary", c("n_plp") % 2 == 0))
+    lent = evl.decoy_pairs(i.relation("cases"), ["case_no"])
+    own, decoy = with_lent_phenotypes(i.found, i.patient_terms, lent, i.knowledge)
+    return evl.adversarial_summary(evl.with_decoy_signals(i.relation("answer_key"), own, decoy))
 
 
-@query(
-    "J14_decoy_pairs",
-    """SELECT a.sample_id, b.sample_id AS decoy_sample_id FROM (SELECT sample_id, row_number() OVER (ORDER BY case_no) - 1 AS i, count(*) OVER () AS n FROM cases) a
-       JOIN (SELECT sample_id, row_number() OVER (ORDER BY case_no) - 1 AS i FROM cases) b ON b.i = (a.i + 50) % a.n""",
-)
+@query("J14_decoy_pairs", DECOYS)
 def _(spark, d):
     return evl.decoy_pairs(inputs(spark, d).relation("cases"), ["case_no"]).select("sample_id", "decoy_sample_id")
 
@@ -628,13 +644,12 @@ def _(spark, d):
 
 @query(
     "SET6_panel_top_up",
-    """SELECT key, 'old' AS origin FROM panel WHERE clinvar_significance <> 'Benign' UNION ALL SELECT key, 'new' FROM frozen_freq
-       WHERE key NOT IN (SELECT key FROM panel WHERE clinvar_significance <> 'Benign')""",
+    "SELECT key, 'old' AS origin FROM panel UNION ALL SELECT key, 'new' FROM local_freq WHERE key NOT IN (SELECT key FROM panel)",
 )
 def _(spark, d):
     i = inputs(spark, d)
-    old = i.relation("panel").where(c("clinvar_significance") != "Benign").select("key", F.lit("old").alias("origin"))
-    return evl.new_panel_rows(old, i.relation("frozen_freq").select("key", F.lit("new").alias("origin")))
+    old = i.relation("panel").select("key", F.lit("old").alias("origin"))
+    return evl.new_panel_rows(old, i.relation("local_freq").select("key", F.lit("new").alias("origin")))
 
 
 # --- store health ----------------------------------------------------------------------------
@@ -683,6 +698,102 @@ def _(spark, d):
     return sb.coverage_mode(built, built.select("chrom"), None, None).select("mode", F.size("contigs").alias("n_contigs"), "rows")
 
 
+# Three stores committed by version: every contig and current, every contig and old, two contigs short.
+_NAMED = "CASE p_partkey % {n} WHEN 22 THEN 'chrX' WHEN 23 THEN 'chrY' ELSE 'chr' || (1 + p_partkey % {n}) END"
+_COMMITTED = {"gnomad": (24, "2024-01-01T00:00:00"), "clinvar": (24, "2024-01-01T00:00:00"), "alphamissense": (22, "2024-01-10T00:00:00")}
+_HEALTH_NOW = "2024-01-20T12:00:00"
+
+
+def _committed(i, name: str) -> str:
+    """Path of a store written from the part table, in the shared folder."""
+    contigs, built_at = _COMMITTED[name]
+
+    def build() -> str:
+        k = c("p_partkey")
+        number = k % contigs
+        chrom = F.when(number == 22, "chrX").when(number == 23, "chrY").otherwise(F.concat(F.lit("chr"), (number + 1).cast("string")))
+        store = i.spark.read.parquet(f"{i.sf_dir}/part.parquet").select(
+            chrom.alias("chrom"), k.cast("int").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"),
+            F.lit(0.5).alias("af"), F.lit(0.5).alias("am_pathogenicity"), F.lit("x").alias("am_class"),
+            F.lit("Benign").alias("significance"), F.lit("").alias("review_status"), F.lit(1).alias("review_stars"),
+        )
+        path = shared_path(i.spark, name)
+        ls.write_version(store, path, name, built_at=built_at, buckets=8)
+        return path
+
+    return i.once(f"store {name}", build)
+
+
+def _committed_status(spark, i):
+    paths = {name: _committed(i, name) for name in _COMMITTED}
+    measures = [store_measures(ls.read_version(spark, path), name) for name, path in paths.items()]
+    now = F.lit(_HEALTH_NOW).cast("timestamp")
+    return store_status(measures[0].unionByName(measures[1]).unionByName(measures[2]), ls.manifest_rows(spark, paths), now)
+
+
+_COMMITTED_STATUS = "(" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS store, count(*) AS rows, {age} AS age_days, CASE WHEN count(DISTINCT {_NAMED.format(n=n)}) < 24 THEN 'incomplete'
+      WHEN {age} > 14 AND '{name}' = 'clinvar' THEN 'stale' ELSE 'ok' END AS status FROM part"""
+    for name, (n, built), age in ((k, v, 19.5 if v[1].startswith("2024-01-01") else 10.5) for k, v in _COMMITTED.items())
+) + ")"
+
+
+@query("AGG23_committed_stores", f"SELECT * FROM {_COMMITTED_STATUS} z")
+def _(spark, d):
+    return _committed_status(spark, inputs(spark, d)).select("store", "rows", "age_days", "status")
+
+
+@query(
+    "AGG24_committed_readiness",
+    f"""SELECT count(*) FILTER (WHERE status = 'incomplete') = 0 AS ready, coalesce(string_agg(store, ',' ORDER BY store) FILTER (WHERE status = 'incomplete'), '') AS blocking,
+        coalesce(string_agg(store, ',' ORDER BY store) FILTER (WHERE status = 'stale'), '') AS stale FROM {_COMMITTED_STATUS} z""",
+)
+def _(spark, d):
+    ready = readiness(_committed_status(spark, inputs(spark, d)))
+    return ready.select("ready", F.array_join("blocking", ",").alias("blocking"), F.array_join("stale", ",").alias("stale"))
+
+
+@query(
+    "SNK4_footer_measures",
+    f"SELECT {_NAMED.format(n=24)} AS contig, count(*) AS rows, min(p_partkey)::INT AS first_pos, max(p_partkey)::INT AS last_pos FROM part GROUP BY 1",
+)
+def _(spark, d):
+    return ls.version_measures(spark, _committed(inputs(spark, d), "gnomad"))
+
+
+@query(
+    "SNK3_committed_modes",
+    f"""SELECT store, mode, n_contigs, rows FROM (SELECT count(DISTINCT {_NAMED.format(n=24)}) AS a, count(DISTINCT {_NAMED.format(n=22)}) AS b, count(*) AS rows FROM part) p,
+        LATERAL (SELECT unnest(['gnomad', 'gnomad bed', 'alphamissense']) AS store, unnest([CASE WHEN a = 24 THEN 'full' ELSE 'partial' END, CASE WHEN a = 24 THEN 'bed' ELSE 'partial' END,
+          CASE WHEN b = 24 THEN 'full' ELSE 'partial' END]) AS mode, unnest([a, a, b]) AS n_contigs) m""",
+)
+def _(spark, d):
+    i, modes = inputs(spark, d), []
+    for label, name, bed in (("gnomad", "gnomad", None), ("gnomad bed", "gnomad", "panel.bed"), ("alphamissense", "alphamissense", None)):
+        built = ls.version_measures(spark, _committed(i, name)).select(c("contig").alias("chrom"), c("rows").alias("n_rows"))
+        mode = sb.coverage_mode(built, built.select("chrom"), None, bed)
+        modes.append(mode.select(F.lit(label).alias("store"), "mode", F.size("contigs").cast("long").alias("n_contigs"), "rows"))
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+@query(
+    "J1_laid_out_store",
+    "SELECT g.sample_id, g.line_no, f.af AS store_af, f.pos IS NOT NULL AS matched FROM calls g LEFT JOIN freq_store f ON g.chrom = f.chrom AND g.pos = f.pos AND g.ref = f.ref AND g.alt = f.alt",
+)
+def _(spark, d):
+    i = inputs(spark, d)
+
+    def build() -> str:
+        path = shared_path(spark, "frequencies")
+        ls.write_version(i.relation("freq_store"), path, "gnomad", buckets=16)
+        return path
+
+    contigs = [r["chrom"] for r in i.calls.select("chrom").distinct().collect()]  # names of contigs
+    store = ls.read_version(spark, i.once("laid frequencies", build), contigs)
+    joined = LocusJoins(i.calls).left(store, {"store_af": c("af"), "matched": F.lit(True)}).done()
+    return joined.select("sample_id", "line_no", "store_af", F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
 @query(
     "SNK2_contigs_to_build",
     "SELECT DISTINCT chrom FROM freq_store WHERE chrom NOT IN ('chr1', 'chr2')",

@@ -556,6 +556,26 @@ def _(spark, d):
     return jt.passing_carriers(_joint_lines(i), _merged(i)).select("file", "line_no", "sample_id", "alt", "sample_value")
 
 
+@query(
+    "SRC4_joint_samples",
+    """SELECT k.sample_id AS file, line_no, s.sample_id, CASE s.sample_id WHEN 'A' THEN alt ELSE 'TTTT' END AS alt, s.z AS zygosity, s.dp AS depth, s.gq, s.ab AS allele_balance, s.i AS alt_index, 2 AS n_alts
+       FROM calls k, (VALUES ('A', 'het', 18, 50, 0.5, 0), ('C', 'hom', 8, 30, 0.875, 1)) s(sample_id, z, dp, gq, ab, i)""",
+)
+def _(spark, d):
+    parsed = vcf.parse_calls(_joint_lines(inputs(spark, d)), all_samples=True, carriers_only=True)
+    return parsed.select("file", "line_no", "sample_id", "alt", "zygosity", "depth", "gq", "allele_balance", "alt_index", "n_alts")
+
+
+@query(
+    "SRC4_joint_sample_rows",
+    """SELECT s.sample_id, a.alt_index, count(*) AS n, count(*) FILTER (WHERE (s.sample_id = 'A' AND a.alt_index = 0) OR (s.sample_id = 'C' AND a.alt_index = 1)) AS n_carried
+       FROM calls k, (VALUES ('A'), ('B'), ('C')) s(sample_id), (VALUES (0), (1)) a(alt_index) GROUP BY ALL""",
+)
+def _(spark, d):
+    parsed = vcf.parse_calls(_joint_lines(inputs(spark, d)), all_samples=True)
+    return parsed.groupBy("sample_id", "alt_index").agg(rows("n"), F.count("zygosity").alias("n_carried"))
+
+
 def _records(i):
     """One assertion document per part row, with the allele in the location, in the SPDI, or in neither."""
     store = i.relation("assertion_store").withColumn("n", F.substr("accession", F.lit(4)).cast("bigint"))
