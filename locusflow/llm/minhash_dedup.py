@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.llm.components import components
+from locusflow.llm.text import give_back
 from locusflow.llm.words import mix, slices, words_of
 from locusflow.operators.durable import durable
 
@@ -137,6 +138,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "sig", "b1", "b2"])
         out.insert(0, "doc_id", batch["doc_id"].to_numpy())
         yield out
+        del batch, texts, rows, out
+    give_back()
 
 
 def _tokens(sig: pd.Series) -> np.ndarray:
@@ -356,7 +359,8 @@ def _confirm(percent: int):
                 keep = [_linked(sets[s], sets[t], percent) for s, t in zip(first, second)]
                 yield batch.slice(at, to - at).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 at = to
-        pa.default_memory_pool().release_unused()  # the worker serves other stages next
+            del batch, both, first, second, texts, sets
+        give_back()
 
     return confirm
 

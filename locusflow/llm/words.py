@@ -13,8 +13,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Most bytes of text handled at once, unless one text alone is longer.
-BUFFER_BYTES = 2_000_000
+#: Most characters of text handled at once, unless one text alone is longer.
+BUFFER_BYTES = 900_000
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 
@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.full(n, _P, dtype=np.uint64)
@@ -55,7 +55,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, (n - 1).bit_length())
+    size = 1 << max(20, (n - 1).bit_length())
     up, down = _powers(size)
     return up[:n], down[:n]
 
