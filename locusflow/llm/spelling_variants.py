@@ -31,6 +31,9 @@ RATIO = 5
 #: Rows of a block, and code points of its matrices if the words are long.
 BLOCK_ROWS, BLOCK_CELLS, FEWEST_ROWS = 512, 1 << 20, 8
 
+#: Postings of a word, and posted rows for a task.
+POSTINGS, TASK_ROWS = 4, 20_000
+
 TILE = ["kind", "longer", "bucket", "low", "high"]
 FOUND = "word string, n_near bigint, best_n bigint, best string"
 
@@ -132,7 +135,11 @@ def tiles(words: DataFrame, n_words: int, block: int = BLOCK_ROWS) -> DataFrame:
 
 def near_words(words: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """(word, n_near, best_n, best) of the words of (word, n) that have words one edit apart."""
-    parts = tiles(words, words.count(), block).groupBy(*TILE).applyInPandas(_tile, FOUND)
+    n_words = words.count()
+    # Tiles are few bytes and much work, so tasks are made by rows: planned by bytes they would be too few.
+    tasks = max(1, POSTINGS * n_words // TASK_ROWS)
+    dealt = tiles(words, n_words, block).repartition(tasks, *TILE)
+    parts = dealt.groupBy(*TILE).applyInPandas(_tile, FOUND)
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     summed = parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("_best"))
     return summed.select("word", "n_near", (-F.col("_best.n")).alias("best_n"), F.col("_best.word").alias("best"))
