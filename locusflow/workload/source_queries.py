@@ -11,6 +11,7 @@ from locusflow.functions import keys as K
 from locusflow.operators import health as hl
 from locusflow.operators import selection as sel
 from locusflow.operators import sinks as sk
+from locusflow.operators.durable import shared_path
 from locusflow.operators.ranking import first_per_key
 from locusflow.sources import intervals as si
 from locusflow.sources import joint as jt
@@ -20,6 +21,7 @@ from locusflow.sources import records as rec
 from locusflow.sources import stores as so
 from locusflow.sources import tables as tb
 from locusflow.sources import vcf
+from locusflow.sources.block_gzip import read_block_gzip, write_block_gzip
 from locusflow.workload.inputs import inputs
 from locusflow.workload.registry import query
 
@@ -107,6 +109,29 @@ def _(spark, d):
     )
 
 
+@query(
+    "SRC2_block_gzip_calls",
+    """SELECT sample_id, line_no, chrom, pos, ref, alt, gene, consequence, zygosity, gq, allele_balance, filter_status, true AS many_tasks FROM calls""",
+)
+def _(spark, d):
+    i = inputs(spark, d)
+
+    def build() -> str:
+        path = shared_path(spark, "gzip")
+        whole = stored_call_lines(i).select(F.concat_ws(TAB, "file", c("line_no").cast("string"), "value").alias("value"))
+        write_block_gzip(whole.coalesce(2), path)
+        return path
+
+    text = read_block_gzip(spark, i.once("block gzip", build), range_bytes=256 << 10)
+    many = text.select(F.spark_partition_id().alias("p")).agg((F.countDistinct("p") > 2).alias("many_tasks"))
+    fields = F.split("value", TAB, 3)
+    lines = text.select(fields[0].alias("file"), fields[1].cast("bigint").alias("line_no"), fields[2].alias("value"))
+    parsed = vcf.parse_calls(lines).withColumn("many_tasks", many.scalar())
+    return parsed.select(
+        "sample_id", "line_no", "chrom", "pos", "ref", "alt", "gene", "consequence", "zygosity", "gq", "allele_balance", "filter_status", "many_tasks"
+    )
+
+
 @query(
     "SRC3_SRC4_FN6_file_headers",
     """SELECT DISTINCT sample_id AS file, CASE WHEN CAST(substr(sample_id, 2) AS BIGINT) % 2 = 0 THEN 'GRCh38' ELSE 'GRCh37' END AS build,
