@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions.keys import variant_key
+from locusflow.operators.ranking import position_in_group
+from locusflow.operators.routing import not_to_dismiss_columns
 from locusflow.settings import BUCKETS
 
 c = F.col
@@ -37,6 +39,69 @@ def case_overview(routed: DataFrame) -> DataFrame:
     )
 
 
+#: Findings, and conclusion items, of one part of a sample's document.
+PART_ITEMS = 5_000
+FINDING = ["line_no", "alt_index", "gene", "consequence", "hgvs_p", "tier", "rule_path", "bucket", "carrier", "probable_vus", "hpo_match_score"]
+
+
+def _parts(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """Rows with the part of their sample's document and their place in it, at most ``most`` a part."""
+    placed = position_in_group(rows, ["sample_id"], [c(o).asc_nulls_first() for o in order], "_place")
+    return placed.withColumn("part", F.floor((c("_place") - 1) / most).cast("int"))
+
+
+def sample_documents(
+    routed: DataFrame, conclusions: DataFrame, patient_terms: DataFrame, most: int = PART_ITEMS
+) -> DataFrame:
+    """The result of every sample as nested documents: header, buckets, conclusion, flags and findings.
+
+    A sample is one document, or several numbered parts if it has more than ``most``
+    findings or conclusion items, so no document grows without bound. Every part has the header;
+    genes of the buckets, flags and findings stand in the order of the calls. A sample that only
+    has conclusions has a document without findings.
+    """
+    in_order = lambda value, keep=F.lit(True): F.transform(
+        F.array_sort(F.collect_list(F.when(keep, F.struct("_place", value.alias("v"))))), lambda x: x["v"]
+    )
+    order = ["line_no", "alt_index", "gene"]
+    slim = routed.select(
+        "sample_id", *order, bucket_memberships().alias("_in"), F.struct(*[x for x in FINDING if x in routed.columns]).alias("_finding"),
+        F.when(c("not_to_dismiss"), F.struct(*not_to_dismiss_columns())).alias("_flag"),
+    )
+    found = _parts(slim, order, most).groupBy("sample_id", "part").agg(
+        F.count(F.lit(1)).alias("n_findings"),
+        F.struct(*[in_order(c("gene"), F.array_contains("_in", b)).alias(b) for b in BUCKETS]).alias("buckets"),
+        in_order(c("_flag"), c("_flag").isNotNull()).alias("not_to_dismiss"),
+        in_order(c("_finding")).alias("findings"),
+    )
+    item = F.struct("section_no", "section", "gene", "detail")
+    said = _parts(conclusions, ["section_no", "gene", "detail"], most).groupBy("sample_id", "part").agg(
+        in_order(item).alias("conclusion")
+    )
+    build = c("build") if "build" in routed.columns else F.lit(None).cast("string")
+    told = routed.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max(build).alias("build"))
+    terms = patient_terms.select("sample_id", "term").distinct().groupBy("sample_id").agg(F.array_sort(F.collect_list("term")).alias("hpo_terms"))
+    joined = found.join(said, ["sample_id", "part"], "full").join(told, "sample_id", "left").join(terms, "sample_id", "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        "sample_id", "part", "build", F.coalesce("hpo_terms", none).alias("hpo_terms"),
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        *[F.coalesce(c(x), F.from_json(F.lit("[]"), found.schema[x].dataType)).alias(x) for x in ("not_to_dismiss", "findings")],
+        F.coalesce("buckets", F.struct(*[none.alias(b) for b in BUCKETS])).alias("buckets"),
+        F.coalesce("conclusion", F.from_json(F.lit("[]"), said.schema["conclusion"].dataType)).alias("conclusion"),
+    )
+
+
+def overview(documents: DataFrame) -> DataFrame:
+    """One row a sample: header, number of calls in each bucket, and the conclusion of its first part."""
+    first = lambda x: F.min_by(c(x), c("part")).alias(x)
+    return documents.groupBy("sample_id").agg(
+        first("build"), first("hpo_terms"), first("n_candidates"),
+        *[F.sum(F.size(f"buckets.{b}")).alias(f"n_{b}") for b in BUCKETS],
+        F.sum(F.size("not_to_dismiss")).alias("n_not_to_dismiss"), first("conclusion"),
+    )
+
+
 def findings_for_gene(routed: DataFrame, gene: str) -> DataFrame:
     return routed.where(F.upper("gene") == gene.upper())
 

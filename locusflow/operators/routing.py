@@ -187,18 +187,21 @@ def exploration_notes(vus: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return vus.withColumn("note", F.concat(c("gene"), F.lit(" "), change, F.lit(" — VUS with "), names))
 
 
-def not_to_dismiss(routed: DataFrame) -> DataFrame:
-    return routed.where("not_to_dismiss").select(
-        "sample_id",
-        "gene",
+def not_to_dismiss_columns() -> list[Column]:
+    return [
+        c("gene"),
         variant_key().alias("variant"),
         F.coalesce("hgvs_p", "hgvs_c").alias("hgvs"),
         c("tier").alias("engine_tier"),
-        "clinvar_significance",
-        "clinvar_review_status",
+        c("clinvar_significance"),
+        c("clinvar_review_status"),
         review_stars(c("clinvar_review_status")).alias("clinvar_stars"),
-        "clinvar_accession",
-    )
+        c("clinvar_accession"),
+    ]
+
+
+def not_to_dismiss(routed: DataFrame) -> DataFrame:
+    return routed.where("not_to_dismiss").select("sample_id", *not_to_dismiss_columns())
 
 
 def conclusion_items(routed: DataFrame, quality: DataFrame) -> DataFrame:

@@ -132,5 +132,11 @@ def write_results(routed: DataFrame, conclusions: DataFrame, path: str, format_:
         table.repartitionByRange("sample_id").write.mode("overwrite").format(format_).save(f"{path}/{name}")
 
 
+def write_documents(documents: DataFrame, path: str, most_rows: int = 1_000) -> None:
+    """One JSON line for each part of a sample's document, in order of samples; files hold ``most_rows`` lines at most."""
+    ordered = documents.repartitionByRange("sample_id", "part").sortWithinPartitions("sample_id", "part")
+    ordered.write.option("maxRecordsPerFile", most_rows).option("ignoreNullFields", False).json(path)
+
+
 def write_tsv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

@@ -33,7 +33,7 @@ from locusflow.workload.oracle_steps import (
     RELATED,
     stars,
 )
-from locusflow.workload.registry import query
+from locusflow.workload.registry import STATEMENTS, query
 from locusflow.workload.source_queries import stored_call_lines
 
 c = F.col
@@ -359,6 +359,59 @@ def _(spark, d):
     return rt.conclusion_items(i.routed(), q.sequencing_quality(i.calls)).drop("section")
 
 
+_SECTION = """CASE section_no WHEN 1 THEN 'diagnosis' WHEN 2 THEN 'no pathogenic finding' WHEN 3 THEN 'do not dismiss' WHEN 4 THEN 'verify genotype'
+  WHEN 5 THEN 'secondary finding' WHEN 6 THEN 'carrier' WHEN 7 THEN 'other pathogenic' WHEN 8 THEN 'probable pathogenic VUS'
+  WHEN 9 THEN CASE WHEN CAST(replace(detail, 'median ', '') AS DOUBLE) < 20 THEN 'coverage limitation' ELSE 'depth adequate' END
+  WHEN 10 THEN 'single proband' ELSE 'next steps' END"""
+_PART = 40
+_IN = {
+    "primary": "bucket = 'primary'", "secondary": "bucket = 'secondary'", "carrier": "carrier", "probable_pathogenic_vus": "probable_vus", "other": "bucket = 'other'",
+}
+_PARTS_SQL = f"""(SELECT coalesce(f.sample_id, k.sample_id) AS sample_id, coalesce(f.part, k.part) AS part, coalesce(f.n, 0) AS n_findings, coalesce(flags, '') AS flags, coalesce(conclusion, '') AS conclusion,
+    {", ".join(f"coalesce(in_{b}, '') AS in_{b}" for b in _IN)}, coalesce(lines, '') AS lines
+  FROM (SELECT sample_id, (rn - 1) // {_PART} AS part, count(*) AS n, string_agg(gene, ',' ORDER BY rn) FILTER (WHERE dismissable) AS flags,
+      string_agg(line_no || ':' || tier, ',' ORDER BY rn) AS lines, {", ".join(f"string_agg(gene, ',' ORDER BY rn) FILTER (WHERE {test}) AS in_{b}" for b, test in _IN.items())}
+    FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY line_no, alt_index, gene) AS rn FROM routed) r GROUP BY 1, 2) f
+  FULL JOIN (SELECT sample_id, (rn - 1) // {_PART} AS part, string_agg({_SECTION} || ':' || coalesce(gene, '') || ':' || coalesce(detail, ''), ',' ORDER BY rn) AS conclusion
+    FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY section_no, gene NULLS FIRST, detail NULLS FIRST) AS rn FROM (CONCLUSIONS) a) b GROUP BY 1, 2) k
+  ON f.sample_id = k.sample_id AND f.part = k.part)""".replace("CONCLUSIONS", STATEMENTS["RT8_conclusions"])
+_HEADER = "LEFT JOIN (SELECT sample_id, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM patient_terms GROUP BY sample_id) t ON t.sample_id = p.sample_id LEFT JOIN (SELECT sample_id, count(*) AS n FROM routed GROUP BY sample_id) n ON n.sample_id = p.sample_id"
+
+
+def _documents(i):
+    conclusions = rt.conclusion_items(i.routed(), q.sequencing_quality(i.calls))
+    return i.keep("documents", lambda: ex.sample_documents(i.routed(), conclusions, i.patient_terms, _PART))
+
+
+@query(
+    "SNK5_sample_documents",
+    f"""SELECT p.*, coalesce(terms, '') AS hpo_terms, coalesce(n.n, 0) AS n_candidates FROM {_PARTS_SQL} p {_HEADER}""",
+)
+def _(spark, d):
+    text = lambda x: F.array_join(x, ",")
+    item = lambda s: F.concat_ws(":", s["section"], F.coalesce(s["gene"], F.lit("")), F.coalesce(s["detail"], F.lit("")))
+    return _documents(inputs(spark, d)).select(
+        "sample_id", "part", "n_findings", "n_candidates", text(c("hpo_terms")).alias("hpo_terms"),
+        text(F.transform("not_to_dismiss", lambda x: x["gene"])).alias("flags"), text(F.transform("conclusion", item)).alias("conclusion"),
+        *[text(c(f"buckets.{b}")).alias(f"in_{b}") for b in _IN],
+        text(F.transform("findings", lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["tier"]))).alias("lines"),
+    )
+
+
+@query(
+    "Q1_case_digest",
+    f"""SELECT p.sample_id, coalesce(any_value(terms), '') AS hpo_terms, coalesce(any_value(n.n), 0) AS n_candidates, min_by(p.conclusion, p.part) AS conclusion,
+        {", ".join(f"sum(len(list_filter(string_split(in_{b}, ','), lambda g: g <> '')))::BIGINT AS n_{b}" for b in _IN)}, sum(len(list_filter(string_split(flags, ','), lambda g: g <> '')))::BIGINT AS n_not_to_dismiss
+        FROM {_PARTS_SQL} p {_HEADER} GROUP BY p.sample_id""",
+)
+def _(spark, d):
+    item = lambda s: F.concat_ws(":", s["section"], F.coalesce(s["gene"], F.lit("")), F.coalesce(s["detail"], F.lit("")))
+    digest = ex.overview(_documents(inputs(spark, d))).drop("build")
+    return digest.withColumns(
+        {"hpo_terms": F.array_join("hpo_terms", ","), "conclusion": F.array_join(F.transform("conclusion", item), ",")}
+    )
+
+
 # --- exploration -------------------------------------------------------------------------
 @query(
     "Q1_case_overview",
