@@ -197,5 +197,24 @@ def lift_over(
     )
 
 
+def lift_lines(
+    lines: DataFrame, blocks: DataFrame, spread_on: list[str], bin_size: int = LOOKUP_BIN, **skew
+) -> DataFrame:
+    """Outcome of every data line of VCF text, and its new coordinates where it was lifted.
+
+    A line with fewer than eight fields or without a whole number as position is
+    ``malformed``; header and blank lines have no outcome. ``lines`` has ``value``; other columns are carried.
+    """
+    fields = F.split("value", "\t")
+    field = lambda i: F.get(fields, F.lit(i))
+    parsed = lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).withColumns(
+        {"chrom": field(0), "pos": F.trim(field(1)).try_cast("int"), "ref": field(3), "alt": field(4), "_fields": F.size(fields)}
+    )
+    broken = (F.col("_fields") < 8) | F.col("_stated").isNull()
+    lifted = lift_over(parsed.withColumn("_stated", F.col("pos")), blocks, spread_on, bin_size, **skew)
+    kept = {n: F.when(~broken, F.col(n)) for n in ("chrom", "pos", "ref", "alt")}
+    return lifted.withColumns({"outcome": F.when(broken, "malformed").otherwise(F.col("outcome")), **kept}).drop("_fields", "_stated")
+
+
 def lift_counts(lifted: DataFrame) -> DataFrame:
     return lifted.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_records"))

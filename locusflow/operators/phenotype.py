@@ -145,6 +145,21 @@ def phenotype_scores(
     )
 
 
+def matched_terms(
+    sample_genes: DataFrame, patient_terms: DataFrame, gene_terms: DataFrame, closure: DataFrame, ic: DataFrame,
+    t: Thresholds = DEFAULTS,
+) -> DataFrame:
+    """Per sample and gene the listed terms the gene matches, each with its best gene term and similarity.
+
+    Terms below the match threshold are left out, genes without a match too; the list is
+    in term order and no longer than the sample's own.
+    """
+    found = term_matches(sample_genes, patient_terms, gene_terms, closure, ic).where(F.col("similarity") >= t.matched_similarity)
+    return found.groupBy("sample_id", "gene").agg(
+        F.array_sort(F.collect_list(F.struct("term", "gene_term", "similarity"))).alias("matched_terms")
+    )
+
+
 def overlap_scores(sample_genes: DataFrame, patient_terms: DataFrame, gene_terms: DataFrame) -> DataFrame:
     """Score without an ontology: share of the distinct patient terms the gene carries."""
     distinct_terms = patient_terms.select("sample_id", "term").distinct()

@@ -535,8 +535,13 @@ def _(spark, d):
            WHEN chrom IN ('chr2', 'chr3') AND (length(ref) > 1 OR length(alt) > 1) THEN 'strand' ELSE 'lifted' END AS o FROM calls) x""",
 )
 def _(spark, d):
-    i = inputs(spark, d)
-    # Chain blocks from the part table: 4 kb of source per block, chr1 without a chain, chr4 twice.
+    calls = inputs(spark, d).calls.select("sample_id", "line_no", "chrom", "pos", "ref", "alt")
+    lifted = iv.lift_over(calls, _chain_blocks(spark, d), ["sample_id", "line_no"])
+    return lifted.select("sample_id", "line_no", "outcome", "chrom", "pos", "ref", "alt")
+
+
+def _chain_blocks(spark, d):
+    """Chain blocks from the part table: 4 kb of source per block, chr1 without a chain, chr4 twice."""
     part = spark.read.parquet(f"{d}/part.parquet")
     number = (c("p_partkey") % 22 + 1).cast("string")
     start = F.floor((1000 + (c("p_partkey") * 100) % 2000000000) / 4096) * 4096
@@ -547,9 +552,21 @@ def _(spark, d):
         F.when(minus, c("src_start") + 500).otherwise(c("src_start") + 5000).alias("dst_start"),
         F.when(minus, "-").otherwise("+").alias("dst_strand"), F.lit(100000000000).alias("dst_size"),
     )
-    second = block.where(c("src_chrom") == "chr4").withColumn("dst_chrom", F.lit("chr5"))
-    lifted = iv.lift_over(i.calls.select("sample_id", "line_no", "chrom", "pos", "ref", "alt"), block.unionByName(second), ["sample_id", "line_no"])
-    return lifted.select("sample_id", "line_no", "outcome", "chrom", "pos", "ref", "alt")
+    return block.unionByName(block.where(c("src_chrom") == "chr4").withColumn("dst_chrom", F.lit("chr5")))
+
+
+@query(
+    "FLT8_lift_lines",
+    """SELECT sample_id AS file, outcome, count(*) AS n_records FROM (
+         SELECT sample_id, CASE WHEN chrom = 'chr1' THEN 'unmapped' WHEN chrom = 'chr4' THEN 'ambiguous'
+           WHEN chrom IN ('chr2', 'chr3') AND (length(ref) > 1 OR length(alt) > 1 OR n_alts = 2) THEN 'strand' ELSE 'lifted' END AS outcome FROM calls
+         UNION ALL SELECT sample_id, unnest(['malformed', 'malformed', 'unmapped']) FROM (SELECT DISTINCT sample_id FROM calls) s) x GROUP BY 1, 2""",
+)
+def _(spark, d):
+    from locusflow.workload.source_queries import stored_call_lines
+
+    lines = stored_call_lines(inputs(spark, d))
+    return iv.lift_lines(lines, _chain_blocks(spark, d), ["file", "line_no"]).groupBy("file", "outcome").agg(rows("n_records"))
 
 
 @query(

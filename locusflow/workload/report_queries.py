@@ -70,6 +70,19 @@ def _scores(i):
     )
 
 
+@query(
+    "AGG10_matched_terms",
+    """SELECT f.sample_id, f.gene, string_agg(p.term || '>' || b.gterm || ':' || CAST(round(b.sim * 100) AS INT), ',' ORDER BY p.term) AS matched
+       FROM (SELECT DISTINCT sample_id, gene FROM found) f JOIN patient_terms p ON p.sample_id = f.sample_id JOIN best_pairs b ON b.gene = f.gene AND b.pterm = p.term
+       WHERE b.sim >= 0.3 GROUP BY f.sample_id, f.gene""",
+)
+def _(spark, d):
+    i = inputs(spark, d)
+    found = ph.matched_terms(ph.sample_gene_pairs(i.found), i.patient_terms, i.relation("gene_terms"), i.closure, i.content)
+    entry = lambda m: F.concat(m["term"], F.lit(">"), m["gene_term"], F.lit(":"), F.round(m["similarity"] * 100).cast("int").cast("string"))
+    return found.select("sample_id", "gene", F.array_join(F.transform("matched_terms", entry), ",").alias("matched"))
+
+
 @query(
     "AGG10_phenotype_score",
     "SELECT sample_id, gene, hpo_match_score, hpo_best_match, n_matched_terms::INT AS n_matched_terms FROM pheno WHERE hpo_best_match > 0",
