@@ -20,7 +20,7 @@ from locusflow.operators import laid_store as ls
 from locusflow.operators.durable import shared_path
 from locusflow.operators.evidence import LocusJoins
 from locusflow.operators.health import readiness, store_measures, store_status
-from locusflow.plans.interpretation import interpret_text, with_lent_phenotypes
+from locusflow.plans.interpretation import interpret_text, with_gene_evidence, with_lent_phenotypes
 from locusflow.settings import DEFAULTS
 from locusflow.workload.inputs import inputs
 from locusflow.workload.oracle_steps import (
@@ -518,23 +518,23 @@ def _panel_rows(i):
         i.relation("panel"), i.relation("frozen_freq"),
         i.knowledge.missense.select(K.variant_key().alias("key"), "am_pathogenicity", "am_class"),
     )
-    profiled = entries.join(i.knowledge.constraint.select("gene", "lof_intolerant"), "gene", "left")
-    return evl.panel_rows(cb.classify(evl.withhold_assertions(profiled)))
+    return evl.panel_rows(cb.classify(evl.withhold_assertions(with_gene_evidence(entries, i.knowledge))))
 
 
 _PANEL = """(SELECT *, CASE WHEN p AND b THEN 'VUS' WHEN p THEN 'PATH' WHEN b THEN 'BEN' ELSE 'VUS' END AS engine FROM (
   SELECT *, (pvs >= 1 AND (ps >= 1 OR pm >= 1 OR pp >= 1)) OR (ps = 1 AND pm IN (1, 2)) OR (ps = 1 AND pp >= 2) OR pm >= 3 OR (pm >= 2 AND pp >= 2) AS p,
     ba >= 1 OR bs >= 2 OR (bs = 1 AND bp >= 1) OR bp >= 2 AS b FROM (
-    SELECT key, truth, nullv, CASE WHEN nullv AND lof THEN 1 ELSE 0 END AS pvs,
+    SELECT key, truth, nullv, CASE WHEN nullv AND (lof OR hi OR ar) THEN 1 ELSE 0 END AS pvs,
       CASE WHEN am >= 0.99 THEN 1 ELSE 0 END AS ps, CASE WHEN am >= 0.9 AND am < 0.99 THEN 1 ELSE 0 END + CASE WHEN consequence = 'inframe_deletion' THEN 1 ELSE 0 END AS pm,
-      CASE WHEN am >= 0.564 AND am < 0.9 THEN 1 ELSE 0 END + CASE WHEN af <= 0.0001 THEN 1 ELSE 0 END AS pp,
+      CASE WHEN am >= 0.564 AND am < 0.9 THEN 1 ELSE 0 END + CASE WHEN af <= CASE WHEN ad OR xl THEN 1e-4 WHEN ar THEN 1e-3 ELSE 1e-4 END THEN 1 ELSE 0 END AS pp,
       CASE WHEN coalesce(faf95, af) >= 0.05 THEN 1 ELSE 0 END AS ba,
-      CASE WHEN hom >= 2 THEN 1 ELSE 0 END + CASE WHEN coalesce(faf95, af) >= 0.005 AND coalesce(faf95, af) < 0.05 THEN 1 ELSE 0 END AS bs,
+      CASE WHEN hom >= 2 THEN 1 ELSE 0 END + CASE WHEN coalesce(faf95, af) >= CASE WHEN ar THEN 0.01 WHEN ad OR xl THEN 0.001 ELSE 0.005 END AND coalesce(faf95, af) < 0.05 THEN 1 ELSE 0 END AS bs,
       CASE WHEN am <= 0.34 THEN 1 ELSE 0 END + CASE WHEN consequence = 'synonymous_variant' THEN 1 ELSE 0 END AS bp
     FROM (SELECT p.key, CASE WHEN p.clinvar_significance IN ('Pathogenic', 'Likely pathogenic') THEN 'PATH' ELSE 'BEN' END AS truth, p.consequence,
         p.consequence IN ('stop_gained', 'frameshift_variant', 'splice_donor_variant', 'start_lost') AS nullv,
-        coalesce(k.pli >= 0.9, false) OR coalesce(k.loeuf < 0.35, false) AS lof, f.af, f.faf95, f.hom, s.am_pathogenicity AS am
-      FROM panel p JOIN frozen_freq f ON f.key = p.key LEFT JOIN gene_constraint k ON k.gene = p.gene
+        coalesce(k.pli >= 0.9, false) OR coalesce(k.loeuf < 0.35, false) AS lof, f.af, f.faf95, f.hom, s.am_pathogenicity AS am,
+        upper(p.gene) IN (SELECT upper(gene) FROM haploinsufficient) AS hi, coalesce(m.ad, false) AS ad, coalesce(m.ar, false) AS ar, coalesce(m.xl, false) AS xl
+      FROM panel p JOIN frozen_freq f ON f.key = p.key LEFT JOIN gene_constraint k ON k.gene = p.gene LEFT JOIN gene_modes m ON m.ugene = upper(p.gene)
       LEFT JOIN (SELECT replace(chrom, 'chr', '') || '-' || pos || '-' || ref || '-' || alt AS key, am_pathogenicity FROM score_store) s ON s.key = p.key
       WHERE p.clinvar_significance <> 'Uncertain significance') a) b) c)"""
 
