@@ -486,6 +486,17 @@ def _(spark, d):
     return sel.unresolved_store_warning(_annotated(inputs(spark, d)))
 
 
+@query(
+    "FLT7_unresolved_groups",
+    """SELECT chrom || CASE WHEN pos % 100 = 7 THEN '-off' ELSE '-on' END AS sample_id, count(*) AS n_kept, count(*) FILTER (WHERE state <> 'unknown') AS n_resolved,
+       count(*) >= 50 AND count(*) FILTER (WHERE state <> 'unknown') = 0 AS over_call_warning FROM freq_joined WHERE qc = 'PASS' GROUP BY 1""",
+)
+def _(spark, d):
+    """Calls grouped by contig and by whether the store has their kind of position: some groups are never resolved."""
+    place = F.when(c("pos") % 100 == 7, "-off").otherwise("-on")
+    return sel.unresolved_store_warning(_annotated(inputs(spark, d)).withColumn("sample_id", F.concat("chrom", place)))
+
+
 _FUNNEL = """SELECT sample_id, count(*) AS total_variants, count(*) FILTER (WHERE filter_status = 'PASS') AS pass_filter,
   count(*) FILTER (WHERE kept) AS after_qc, count(*) FILTER (WHERE kept AND rare) AS after_rarity,
   count(*) FILTER (WHERE kept AND rare AND impact) AS after_impact, count(*) FILTER (WHERE kept AND rare AND impact) AS candidates

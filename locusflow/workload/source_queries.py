@@ -601,6 +601,11 @@ def _(spark, d):
     return parsed.groupBy("sample_id", "alt_index").agg(rows("n"), F.count("zygosity").alias("n_carried"))
 
 
+@query("FLT6_joint_sample_choice", "SELECT DISTINCT sample_id AS file, 3 AS n_samples, true AS defaulted_to_first FROM calls")
+def _(spark, d):
+    return sel.sample_choice_warning(vcf.file_headers(_joint_lines(inputs(spark, d))), None)
+
+
 def _records(i):
     """One assertion document per part row, with the allele in the location, in the SPDI, or in neither."""
     store = i.relation("assertion_store").withColumn("n", F.substr("accession", F.lit(4)).cast("bigint"))
