@@ -6,7 +6,7 @@ is the article's body. The least density on the path from it up to the page body
 threshold: other parts that are as dense belong to the article too. An ``article`` or
 ``main`` element around the best element is taken whole. Menus, headers, footers, asides,
 forms, scripts, adverts, notices and reader comments are left out by element, role and class: by whole names, and where a name also fits
-article text, by the share of links.
+article text, by the share of links. Reading a page takes time in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -39,18 +39,24 @@ LEFT_OUT = frozenset(
     "head nav footer aside form button select template svg canvas video audio object dialog menu datalist math".split()
 ) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-WORDS = frozenset(
+#: Names of reader comments, also run together ("commentlist", "usercomments"). They count for ids too.
+COMMENTS = frozenset(
+    [f"{who}{what}" for who in ("", "user", "reader") for what in ("comment", "comments")]
+    + [f"comment{s}{part}" for s in ("", "s") for part in ("area", "body", "box", "form", "list", "section", "thread", "wrapper")]
+    + ["disqus", "respond"]
+)
+WORDS = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter subscribe share "
-    "sharing social related recommended comment comments reply replies respond disqus footer login signup widget pagination toolbar".split()
+    "sharing social related recommended reply replies footer login signup widget pagination toolbar".split()
 )
 #: Words of WORDS that articles also have subjects and boxes of: these alone do not show that an element is no text.
-LOOSE = frozenset("social share sharing related recommended notice notices menu promo widget banner".split())
+LOOSE = frozenset("social share sharing notice notices menu widget".split())
 #: What else a class name or id may be made of. One with any other word, as "market-share", is no known name.
 SHAPES = frozenset(
-    "area bar block bottom box btn button buttons container entries footer global google gpt group header icons inner item "
-    "items js left link links list message outer page post posts primary recent right row secondary site slot thread title "
-    "top unit wrap wrapper".split()
+    "area article author bar block blog body bottom box btn button buttons container content entries facebook fb footer form "
+    "global google gpt group header icons inner item items js left link links list message meta outer page post posts primary "
+    "reader readers recent right row secondary section site slot text thread title top unit user users wrap wrapper".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An element that only a LOOSE word or an id speaks against goes if this share of its characters is links.
@@ -84,7 +90,7 @@ def _known(tokens: list[str]) -> set[str]:
 def _is_left_out(name: str, attributes: str, inside: bool) -> bool | None:
     """None: only if it is mostly links. ``inside``: whether an article or main element is open, whose own header belongs to it.
 
-    Ids of headings, and of sections in an article, are made from titles and say nothing.
+    Ids of headings, and of sections in an article, are made from titles and say nothing, unless they name comments.
     """
     if name in LEFT_OUT:
         return True
@@ -101,15 +107,24 @@ def _is_left_out(name: str, attributes: str, inside: bool) -> bool | None:
             if ROLES.intersection(_TOKEN.findall(value)):
                 return True
             continue
-        if key == "id" and (name in HEADINGS or inside and name == "section"):
+        if key == "itemprop":
+            if COMMENTS.intersection(value.split()):
+                return True
+            continue
+        if key == "id" and name in HEADINGS:
             continue
         for part in value.split():
-            words = _known(_TOKEN.findall(part))
-            if words:
-                titled = key == "id" and (inside or name == "section")
-                if not titled and not (inside and words <= LOOSE):
-                    return True
-                doubt = True
+            tokens = _TOKEN.findall(part)
+            words = _known(tokens)
+            if words & COMMENTS:
+                return True
+            if not words or key == "id" and inside and name == "section":
+                continue
+            titled = key == "id" and (inside or name == "section")
+            loose = words <= LOOSE and (len(tokens) == 1 or not words <= {"notice", "notices"})
+            if not titled and not (inside and loose):
+                return True
+            doubt = True
     return bool(_HIDDEN.search(attributes)) or (None if doubt else False)
 
 
@@ -121,6 +136,8 @@ def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[t
     """
     root = _Node("#page", None, True, False)
     nodes, stack, blocks = [root], [root], []
+    owners = [root]  # the open block elements
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
     held: list[str] = []
     links = linked = seen = seen_linked = 0
     mostly_links: set[int] = set()
@@ -132,7 +149,7 @@ def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[t
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                owner = next(n for n in reversed(stack) if n.block)
+                owner = owners[-1]
                 blocks.append((owner, text))
                 owner.chars += len(text)
                 owner.link_chars += min(linked, len(text))
@@ -143,18 +160,20 @@ def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[t
         if any(n.block for n in stack[to:]):
             flush()
         links -= sum(n.name == "a" for n in stack[to:])
-        for n in stack[to:]:
+        for n in reversed(stack[to:]):
+            places[n.name].pop()
+            if n.block:
+                owners.pop()
             if n.doubt and seen > n.doubt[1] and seen_linked - n.doubt[2] >= MOSTLY_LINKS * (seen - n.doubt[1]):
                 mostly_links.add(n.doubt[0])
         del stack[to:]
 
+    def last(names: frozenset[str] | set[str]) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
     def find(names: frozenset[str] | set[str], stop: frozenset[str] | set[str] = frozenset()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                return i
-            if stack[i].name in stop:
-                return 0
-        return 0
+        i = last(names)
+        return i if i > last(stop) else 0
 
     while at < end:
         m = _TAG.search(page, at)
@@ -194,7 +213,7 @@ def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[t
                 held.append(" " if name != "wbr" else "")
             continue
         parent = stack[-1]
-        inside = any(n.name in ("article", "main") for n in stack)
+        inside = bool(places.get("article") or places.get("main"))
         left_out = _is_left_out(name, m[3] or m[6] or "", inside)
         out = parent.out or left_out is True or m.start() in gone
         if name in RAW:
@@ -204,14 +223,15 @@ def _parse(page: str, gone: set[int] = frozenset()) -> tuple[list[_Node], list[t
         node = _Node(name, parent, block, out)
         if left_out is None and not out:
             node.doubt = m.start(), seen, seen_linked
+        places.setdefault(name, []).append(len(stack))
         stack.append(node)
         if name == "a":
             links += 1
             if not out:
-                owner = next(n for n in reversed(stack) if n.block)
-                owner.link_tags += 1
+                owners[-1].link_tags += 1
         if block:
-            node.parent = next(n for n in reversed(stack[:-1]) if n.block)
+            node.parent = owners[-1]
+            owners.append(node)
             nodes.append(node)
     close(1)
     flush()
@@ -253,6 +273,7 @@ def main_text(page: str | None) -> str:
     path, around = [best], None
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    on_path = {id(n) for n in path}
     for n in path:
         if n.name in ("article", "main"):
             around = n
@@ -262,7 +283,7 @@ def main_text(page: str | None) -> str:
         threshold = min(n.density for n in path)
         chosen = {id(best)}
         for n in nodes[1:]:
-            if n.density >= threshold and n not in path:
+            if n.density >= threshold and id(n) not in on_path:
                 chosen.add(id(n.best))
     taken: dict[int, bool] = {}
     for n in nodes:

@@ -173,3 +173,84 @@ def test_names_made_from_titles_are_kept():
                  '<div id="related"><ul><li><a href=x>More</a></ul></div>', "<div class=comment-list><p>A reader.</p></div>",
                  '<p class="x cookie-notice">We use cookies</p>', "<a class=share href=x>Share</a>"):
         assert noted(gone) == f"{body}\nEnd."
+
+
+def test_comments_and_notices_are_left_out():
+    body = "Words of the article, long enough to count as text."
+    reader = "<p>A reader says something long, too, and keeps on writing.</p>"
+    for attributes in ('class="comment-body"', 'class="user-comments"', 'class="comments-section"', 'class="commentlist"', "class=comment__text",
+                       'id="comments"', 'id="comment-12"', 'itemprop="comment"', 'class="x article-comments"'):
+        for tag in ("div", "section", "ol"):
+            box = f"<{tag} {attributes}>{reader}</{tag}>"
+            assert main_text(f"<article><p>{body}</p>{box}<p>End.</p></article>") == f"{body}\nEnd."
+            assert main_text(f"<article><p>{body}</p></article>{box}") == body
+            assert main_text(f"<body><div><p>{body}</p>{box}</div>") == body
+    for name in ("site-notice", "promo", "related", "banner", "recommended-posts", "notice-box"):
+        assert main_text(f'<article><p>{body}</p><div class="{name}">{reader}</div></article>') == body
+    for name in ("commentary", "comments-on-the-method", "market-share", "no-comments"):
+        assert main_text(f'<article><p>{body}</p><div class="{name}"><p>End.</p></div></article>') == f"{body}\nEnd."
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>" * 100_000 + "deep", "<i>" * 100_000 + "deep", "<p>deep" * 50_000 + "</b>" * 50_000, "<ul><li><a href=x>deep" * 30_000):
+        began = time.process_time()
+        assert "deep" in main_text(page) or "<a" in page
+        assert time.process_time() - began < 4  # 20,000 nested elements took a minute before
+
+
+def test_densities_equal_the_plain_recursion():
+    """Random trees: each element's figures by a walk over all its descendants, one element at a time."""
+    import math
+    import random
+
+    from locusflow.llm import html_text
+
+    rng = random.Random(7)
+
+    def grow(depth: int) -> list:
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if depth and kind < 0.5:
+                parts.append(("div", grow(depth - 1)))
+            else:
+                parts.append(("a" if kind > 0.85 else "", "w" * rng.randint(1, 30)))
+        return parts
+
+    def write(parts: list) -> str:
+        return "".join(f"<div>{write(x)}</div>" if t == "div" else f"<a>{x}</a>" if t else f"<p>{x}</p>" for t, x in parts)
+
+    def figures(parts: list) -> tuple[int, int, int, int]:
+        chars = links = tags = link_tags = 0
+        for t, x in parts:
+            below = figures(x) if t == "div" else (len(x), len(x) if t else 0, 0, int(bool(t)))
+            chars, links, link_tags = chars + below[0], links + below[1], link_tags + below[3]
+            tags += below[2] + (t != "a")
+        return chars, links, tags, link_tags
+
+    for _ in range(60):
+        tree = grow(4)
+        nodes, _, _ = html_text._parse(write(tree))
+        html_text._measure(nodes)
+        page = figures(tree)
+
+        def density(parts: list) -> float:
+            c, lc, t, lt = figures(parts)
+            base = math.log(c / max(c - lc, 1) * lc + page[1] / max(page[0], 1) * c + math.e)
+            return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0) + 1) / math.log(base + 1)
+
+        def sums(parts: list) -> list[float]:
+            below = [x if t == "div" else [("", x)] if t == "" else None for t, x in parts]
+            own = []
+            for (t, x), b in zip(parts, below):
+                if t == "div":
+                    own.append((density(x), sums(x)))
+                elif t == "":
+                    n = len(x)
+                    base = math.log(page[1] / max(page[0], 1) * n + math.e)
+                    own.append((n * math.log(n + 1) / math.log(base + 1), [0.0]))
+            return [sum(d for d, _ in own)] + [v for _, s in own for v in s]
+
+        assert np.allclose([n.total for n in nodes], sums(tree))
