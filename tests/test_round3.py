@@ -22,3 +22,23 @@ def test_trail_is_worked_out_where_it_is_read(spark):
     assert {tuple(r) for r in few.collect()} == want
     held = inputs(spark, FOLDER)
     assert "criteria" not in held.classified().columns
+
+
+def test_a_term_of_every_gene_still_matches_itself(spark, tmp_path):
+    """Such a term has no information and no informative ancestor, but is identical to the gene's own."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from check_oracle import normal
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        con.execute(f"CREATE VIEW {t}_given AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+        source = f"SELECT * FROM {t}_given"
+        if t == "orders":
+            source = "SELECT g AS o_orderkey, c_custkey AS o_custkey FROM customer_given, range(150) r(g) WHERE c_custkey % 2 = 0"
+        con.execute(f"COPY ({source}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    name = "W10_distinct_pair_similarity"
+    got, want = queries()[name](spark, str(tmp_path)).toPandas(), con.execute(oracle_sql()[name]).df()
+    assert len(want) > 150 and normal(got) == normal(want)
