@@ -42,3 +42,33 @@ def test_a_term_of_every_gene_still_matches_itself(spark, tmp_path):
     name = "W10_distinct_pair_similarity"
     got, want = queries()[name](spark, str(tmp_path)).toPandas(), con.execute(oracle_sql()[name]).df()
     assert len(want) > 150 and normal(got) == normal(want)
+
+
+def test_stores_are_merged_by_tasks_that_follow_from_the_calls(spark):
+    from locusflow.operators import evidence as ev
+
+    plan = lambda df: df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    site = "chrom string, pos int, ref string, alt string"
+    calls = spark.createDataFrame([("s", n, "chr1", n, "A", "C") for n in range(40)], f"sample_id string, line_no int, {site}")
+    store = spark.createDataFrame([("chr1", n, "A", "C", n / 10) for n in range(20)], f"{site}, af double")
+    joined = ev.join_frequency(ev.LocusJoins(calls, many=10), store).done()
+    assert "BroadcastHashJoin" not in plan(joined) and "REPARTITION_BY_NUM" in plan(joined)
+    assert {(r["line_no"], r["store_af"]) for r in joined.collect()} == {(n, n / 10 if n < 20 else None) for n in range(40)}
+    assert "REPARTITION_BY_NUM" not in plan(ev.join_frequency(ev.LocusJoins(calls), store).done())
+
+
+def test_similarities_go_to_the_listed_terms(spark, monkeypatch):
+    from locusflow.operators import phenotype as ph
+
+    moved = []
+    kept = ph.attach
+    monkeypatch.setattr(ph, "attach", lambda df, table, keys, spread_on: moved.append(keys) or kept(df, table, keys, spread_on))
+    ic = spark.createDataFrame([("r", 0.0), ("a", 1.0), ("b", 2.0)], "term string, ic double")
+    up = spark.createDataFrame([("a", "r"), ("b", "a")], "child string, parent string")
+    closure = ph.ancestor_closure(ic.select("term"), up)
+    genes = spark.createDataFrame([("G", "a"), ("H", "r")], "gene string, term string")
+    pairs = spark.createDataFrame([("s", "G"), ("s", "H"), ("t", "G")], "sample_id string, gene string")
+    listed = spark.createDataFrame([("s", "b"), ("s", "b"), ("s", "r"), ("t", "r")], "sample_id string, term string")
+    got = ph.phenotype_scores(pairs, listed, genes, closure, ic).collect()
+    assert moved == [["gene", "term"]]
+    assert {tuple(r) for r in got} == {("s", "G", 0.444, 0.667, 2), ("s", "H", 0.333, 1.0, 1)}
