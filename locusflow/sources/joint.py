@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.functions.binding import let
-from locusflow.functions.info import info_map, per_allele
+from locusflow.functions.info import allele_element, info_value, stated_info
 from locusflow.functions.keys import reportable_allele
 from locusflow.operators.intervals import restrict_wide_rows
 from locusflow.operators.quality import passes_filter
@@ -22,88 +21,80 @@ def _records(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return attach(inside, file_headers(lines).select("file", "sample_names"), ["file"], ["line_no"])
 
 
-def _carriers(alts: Column) -> Column:
-    """(sample_at, allele_no, sample_value) of every sample for every reportable ALT it carries.
+def _alleles(records: DataFrame) -> DataFrame:
+    """One row per record and reportable ALT, numbered from 1 as ``allele_no``."""
+    each = records.select("*", F.posexplode(F.split("alts", ",")).alias("_at", "alt")).where(reportable_allele(c("alt")))
+    return each.withColumn("allele_no", c("_at") + 1)
 
-    Read inside the record's array of sample fields, so that non-carriers never become
-    rows. Values have a bi-allelic genotype and depths.
+
+def _carrier_rows(alleles: DataFrame) -> DataFrame:
+    """One row per carrier and ALT, with a bi-allelic genotype and depths; ``info_text`` is the ALT's.
+
+    Steps are plain columns, since functions over arrays with a body are not compiled. A
+    sample field that carries nothing ends at the filter.
     """
-    dot, fields = F.lit("."), ("GT", "AD", "DP", "GQ")
-
-    def of_sample(at: Column, alt_list: Column):
-        def entries(text: Column, sample_at: Column) -> Column:
-            def with_values(values: Column) -> Column:
-                own = {f: F.when(at[f] > 0, F.get(values, at[f] - 1)) for f in fields}
-                parts = F.struct(
-                    F.split(F.translate(own["GT"], "|", "/"), "/").alias("alleles"), F.split(own["AD"], ",").alias("depths"),
-                    F.coalesce(own["DP"], dot).alias("dp"), F.coalesce(own["GQ"], dot).alias("gq"),
-                )
-                return let(parts, lambda p: carried(p, sample_at, alt_list))
-
-            return let(F.split(text, ":"), with_values)
-
-        return entries
-
-    def carried(p: Column, sample_at: Column, alt_list: Column) -> Column:
-        numbers = F.sort_array(F.array_distinct(F.filter(F.transform(p["alleles"], lambda a: a.try_cast("int")), lambda a: a > 0)))
-
-        def entry(k: Column) -> Column:
-            copies = F.size(F.filter(p["alleles"], lambda a: a == k.cast("string")))
-            pair = F.concat_ws(",", F.get(p["depths"], F.lit(0)), F.get(p["depths"], k))
-            value = F.concat_ws(
-                ":", F.when(copies == 2, "1/1").otherwise("0/1"), p["dp"], p["gq"],
-                F.when(F.size(p["depths"]) > k, pair).otherwise(dot),
-            )
-            return F.struct(sample_at.alias("sample_at"), k.alias("allele_no"), value.alias("sample_value"))
-
-        shown = lambda k: let(F.get(alt_list, k - 1), lambda alt: alt.isNotNull() & reportable_allele(alt))
-        return F.transform(F.filter(numbers, shown), entry)
-
-    names = F.split("format", ":")
-    places = let(names, lambda n: F.struct(*[F.array_position(n, F.lit(f)).cast("int").alias(f) for f in fields]))
-    each = let(
-        F.struct(places.alias("at"), F.split(alts, ",").alias("alts")),
-        lambda b: F.transform("sample_fields", of_sample(b["at"], b["alts"])),
+    kept = ("file", "line_no", "sample_names", "chrom", "pos", "ref", "alt", "allele_no", "info_text")
+    fields = ("GT", "AD", "DP", "GQ")
+    places = {f"_{f}": F.array_position(F.split("format", ":"), F.lit(f)).cast("int") for f in fields}
+    samples = alleles.withColumns(places).select(*kept, *places, F.posexplode("sample_fields").alias("_sample", "_text"))
+    own = lambda f: F.when(c(f"_{f}") > 0, F.get("_values", c(f"_{f}") - 1))
+    carried = (
+        samples.withColumn("_values", F.split("_text", ":"))
+        .withColumn("_alleles", F.split(F.translate(own("GT"), "|", "/"), "/"))
+        .where(F.array_contains(c("_alleles").try_cast("array<int>"), c("allele_no")))
+        .withColumn("_depths", F.split(own("AD"), ","))
+    )
+    copies = F.size("_alleles") - F.size(F.array_remove("_alleles", c("allele_no").cast("string")))
+    pair = F.concat_ws(",", F.get("_depths", F.lit(0)), F.get("_depths", c("allele_no")))
+    value = F.concat_ws(
+        ":", F.when(copies == 2, "1/1").otherwise("0/1"), F.coalesce(own("DP"), F.lit(".")), F.coalesce(own("GQ"), F.lit(".")),
+        F.when(F.size("_depths") > c("allele_no"), pair).otherwise("."),
+    )
+    return carried.select(
+        "file", "line_no", F.get("sample_names", c("_sample")).alias("sample_id"), "chrom", "pos", "ref", "alt", "info_text",
+        value.alias("sample_value"),
     )
-    return F.flatten(F.filter(each, lambda x: x.isNotNull()))
 
 
-def _carrier_rows(records: DataFrame) -> DataFrame:
-    """One row per carrier and ALT; what ``records`` holds by ALT (``info_texts``) is picked, not computed again."""
-    found = records.select("*", F.explode(_carriers(c("alts"))).alias("_c"))
-    return found.select(
-        "file", "line_no", F.get("sample_names", c("_c.sample_at")).alias("sample_id"), "chrom", "pos", "ref",
-        F.get(F.split("alts", ","), c("_c.allele_no") - 1).alias("alt"),
-        F.get("info_texts", c("_c.allele_no") - 1).alias("info_text"), c("_c.sample_value").alias("sample_value"),
-    )
+_COUNTS = ("AC", "AN", "nhomalt")
 
 
-def _info_of_allele(vep_fields: list[str], number: Column) -> Column:
-    """The INFO text of one ALT (from 1) of a record whose parsed INFO is ``info``."""
-    info, at = c("info"), number - 1
-    value = lambda key: per_allele(F.element_at(info, key), at)
-    usable = lambda x: F.when((x != ".") & (x != ""), x)
-    by_group = usable(value("gnomad_AF_popmax"))
-    own = by_group.isNull()
-    pick = lambda name: F.when(own, value(name)).otherwise(value(f"gnomad_{name}_popmax"))
-    text = lambda x: F.coalesce(usable(x), F.lit("."))
+def _with_allele_info(records: DataFrame, vep_fields: list[str]) -> DataFrame:
+    """One row per record and ALT whose ``info_text`` is the ALT's own."""
+    parsed = ("AF", *_COUNTS, "gnomad_AF_popmax", *[f"gnomad_{n}_popmax" for n in _COUNTS], "gnomad_popmax", "vep")
+    lists = {f"_{key}": F.split(info_value("_info", key), ",") for key in parsed}
+    at, number = c("allele_no") - 1, c("allele_no").cast("string")
+    value = lambda key: allele_element(c(f"_{key}"), at)
+    usable = lambda x: F.when((x != ".") & (x != ""), x)
+    own = c("_group_af").isNull()
+    text = lambda name: F.coalesce(usable(c(name)), F.lit("."))
     number_at = vep_fields.index("ALLELE_NUM")
-    entries = F.transform(F.split(F.element_at(info, "vep"), ","), lambda e: F.split(e, "[|]"))
-    mine = F.filter(entries, lambda f: F.get(f, F.lit(number_at)) == number.cast("string"))
-    renumbered = F.transform(
-        mine,
-        lambda f: F.array_join(
-            F.transform(f, lambda x, i: F.when(i == number_at, "1").otherwise(x)), "|"
-        ),
-    )
-    return F.concat_ws(
-        ";",
-        F.concat(F.lit("gnomad_AF="), text(F.coalesce(by_group, value("AF")))),
-        F.concat(F.lit("gnomad_AC="), text(pick("AC"))),
-        F.concat(F.lit("gnomad_AN="), text(pick("AN"))),
-        F.concat(F.lit("gnomad_nhomalt="), text(pick("nhomalt"))),
-        F.concat(F.lit("gnomad_popmax="), F.when(own, "hgdp_tgp").otherwise(text(value("gnomad_popmax")))),
-        let(renumbered, lambda kept: F.when(F.size(kept) > 0, F.concat(F.lit("CSQ="), F.array_join(kept, ",")))),
+    before = lambda e: F.substring_index(e, "|", number_at) if number_at else F.lit("")
+    bar = "|" if number_at else ""
+
+    def renumbered(e: Column) -> Column:
+        rest = F.length(before(e)) + len(bar) + F.length(number) + 1
+        return F.concat(before(e), F.lit(f"{bar}1"), F.substr(e, rest))
+
+    mine = F.filter("_vep", lambda e: F.get(F.split(e, r"\|"), F.lit(number_at)) == number)
+    return (
+        _alleles(records.withColumn("_info", stated_info(c("info_text"), parsed)).withColumns(lists).drop("_info"))
+        .withColumn("_csq", F.array_join(F.transform(mine, renumbered), ","))
+        .withColumn("_group_af", usable(value("gnomad_AF_popmax")))
+        .withColumns(
+            {f"_own_{n}": F.when(own, value(n)).otherwise(value(f"gnomad_{n}_popmax")) for n in _COUNTS}
+            | {"_own_AF": F.when(own, value("AF")).otherwise(c("_group_af")), "_popmax": value("gnomad_popmax")}
+        )
+        .withColumn(
+            "info_text",
+            F.concat_ws(
+                ";",
+                F.concat(F.lit("gnomad_AF="), text("_own_AF")),
+                *[F.concat(F.lit(f"gnomad_{n}="), text(f"_own_{n}")) for n in _COUNTS],
+                F.concat(F.lit("gnomad_popmax="), F.when(own, "hgdp_tgp").otherwise(text("_popmax"))),
+                F.when(c("_csq") != "", F.concat(F.lit("CSQ="), "_csq")),
+            ),
+        )
     )
 
 
@@ -114,12 +105,10 @@ def joint_carriers(lines: DataFrame, regions: DataFrame, vep_fields: list[str])
     consequence entries are kept for the carried allele and renumbered to 1. INFO is
     parsed once a record and written once an ALT, before samples become rows.
     """
-    records = _records(lines, regions).withColumn("info", info_map(c("info_text")))
-    numbers = F.sequence(F.lit(1), F.size(F.split("alts", ",")))
-    return _carrier_rows(records.withColumn("info_texts", F.transform(numbers, lambda k: _info_of_allele(vep_fields, k))))
+    return _carrier_rows(_with_allele_info(_records(lines, regions), vep_fields))
 
 
 def passing_carriers(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Carrier rows of PASS records, re-emitted bi-allelic without INFO."""
     records = _records(lines, regions).where(passes_filter(c("filter_status")))
-    return _carrier_rows(records.withColumn("info_texts", F.transform(F.split("alts", ","), lambda _: F.lit("."))))
+    return _carrier_rows(_alleles(records).withColumn("info_text", F.lit(".")))

@@ -89,6 +89,26 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
 
 
+def _measures(f: Column, alt_index: Column) -> Column:
+    """Depth, genotype quality and share of the ALT's reads from the texts DP, GQ and AD."""
+
+    def depths(text: Column) -> Column:
+        parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
+        return let(parts, lambda p: F.when(text.contains(",") & ~F.exists(p, lambda x: x.isNull()), p))
+
+    def measures(counts: Column, total: Column) -> Column:
+        covered = (total > 0) & (F.size(counts) > alt_index + 1)
+        stated = F.when(f["DP"].rlike("^[0-9]+$"), f["DP"].try_cast("int"))
+        return F.struct(
+            F.coalesce(stated, F.when(total > 0, total)).alias("depth"),
+            F.when(~f["GQ"].isin(".", "-1"), F.trim(f["GQ"]).try_cast("double").try_cast("int")).alias("gq"),
+            F.when(covered, F.round(F.get(counts, alt_index + 1) / total, 3)).alias("allele_balance"),
+        )
+
+    summed = lambda counts: F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return let(depths(f["AD"]), lambda counts: let(summed(counts), lambda total: measures(counts, total)))
+
+
 def sample_metrics(format_: Column, sample: Column, alt_index: Column) -> Column:
     """Genotype fields of one sample for one ALT; pairing stops at the shorter list."""
     names, values = F.split(format_, ":"), F.split(sample, ":")
@@ -106,26 +126,43 @@ def sample_metrics(format_: Column, sample: Column, alt_index: Column) -> Column
 
         return F.struct(*[value(n).alias(n) for n in ("GT", "DP", "GQ", "AD")])
 
-    def depths(text: Column) -> Column:
-        parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
-        return let(parts, lambda p: F.when(text.contains(",") & ~F.exists(p, lambda x: x.isNull()), p))
-
-    def metrics(f: Column, counts: Column, total: Column) -> Column:
-        covered = (total > 0) & (F.size(counts) > alt_index + 1)
-        stated = F.when(f["DP"].rlike("^[0-9]+$"), f["DP"].try_cast("int"))
-        return F.struct(
-            zygosity(f["GT"], alt_index + 1).alias("zygosity"),
-            F.coalesce(stated, F.when(total > 0, total)).alias("depth"),
-            F.when(~f["GQ"].isin(".", "-1"), F.trim(f["GQ"]).try_cast("double").try_cast("int")).alias("gq"),
-            F.when(covered, F.round(F.get(counts, alt_index + 1) / total, 3)).alias("allele_balance"),
-        )
-
-    summed = lambda counts: F.aggregate(counts, F.lit(0), lambda a, x: a + x)
     both = F.when(usable, F.struct(names.alias("names"), values.alias("values")))
-    return let(
-        let(both, fields),
-        lambda f: let(depths(f["AD"]), lambda counts: let(summed(counts), lambda total: metrics(f, counts, total))),
+    measured = lambda f, m: F.struct(
+        zygosity(f["GT"], alt_index + 1).alias("zygosity"), *[m[x].alias(x) for x in ("depth", "gq", "allele_balance")]
     )
+    return let(let(both, fields), lambda f: let(_measures(f, alt_index), lambda m: measured(f, m)))
+
+
+def _last_place(name: str) -> Column:
+    """For every number of leading FORMAT names, from 0, the place of the last ``name`` among them (from 1, else 0)."""
+    names = F.col("_names")
+    until = lambda n: F.array_position(F.reverse(F.slice(names, F.lit(1), n)), F.lit(name)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(names)), lambda n: let(until(n), lambda p: F.when(p > 0, n + 1 - p).otherwise(0)))
+
+
+def _sample_rows(alleles: DataFrame, carriers_only: bool) -> DataFrame:
+    """One row per allele and sample with what ``sample_metrics`` says of it.
+
+    FORMAT is read once an allele and genotypes in plain columns, since functions over arrays
+    with a body are not compiled; a field that carries nothing ends at the filter.
+    """
+    # A record may end before its sample columns; every named sample still gets its row.
+    columns = F.when(F.size("sample_names") > 0, F.col("sample_names")).otherwise(F.col("sample_fields"))
+    places = {f"_{f}": _last_place(f) for f in ("GT", "DP", "GQ", "AD")}
+    each = F.posexplode(columns) if carriers_only else F.posexplode_outer(columns)
+    rows = alleles.withColumn("_names", F.split("format", ":")).withColumns(places).select("*", each.alias("sample_at", "_named"))
+    values = F.split(F.get("sample_fields", F.col("sample_at")), ":")
+    own = lambda f: F.get("_values", F.get(f"_{f}", F.least(F.size("_values"), F.size("_names"))) - 1)
+    wanted, missing = (F.col("alt_index") + 1).cast("string"), F.array(F.lit("."), F.lit("-1"))
+    rows = rows.withColumn("_values", values).withColumn("_alleles", F.split(F.translate(own("GT"), "|", "/"), "/"))
+    carried = F.array_contains("_alleles", wanted)
+    usable = carried & ~F.arrays_overlap("_alleles", missing)
+    if carriers_only:
+        rows = rows.where(usable)
+    copies = F.size("_alleles") - F.size(F.array_remove("_alleles", wanted))
+    state = F.when(F.size("_alleles") == 1, "hemi").when(copies == F.size("_alleles"), "hom").otherwise("het")
+    fields = F.struct(*[own(f).alias(f) for f in ("DP", "GQ", "AD")])
+    return rows.withColumns({"zygosity": F.when(usable, state), "metrics": let(fields, lambda f: _measures(f, F.col("alt_index")))})
 
 
 def _proband(sample: str | None) -> Column:
@@ -165,22 +202,12 @@ def parse_calls(
             ),
         )
     )
-    metrics = lambda text: sample_metrics(F.col("format"), text, F.col("alt_index"))
     if all_samples:
-        # A record may end before its sample columns; every named sample still gets its row.
-        columns = F.when(F.size("sample_names") > 0, F.col("sample_names")).otherwise(F.col("sample_fields"))
-        samples = F.transform(
-            columns, lambda _, i: F.struct(i.alias("at"), metrics(F.get("sample_fields", i)).alias("metrics"))
-        )
-        if carriers_only:
-            rows = alleles.select("*", F.explode(F.filter(samples, lambda s: s["metrics"]["zygosity"].isNotNull())).alias("_s"))
-        else:
-            rows = alleles.select("*", F.explode_outer(samples).alias("_s"))
-        rows = rows.withColumns({"sample_at": F.col("_s.at"), "metrics": F.col("_s.metrics")})
+        rows = _sample_rows(alleles, carriers_only)
     else:
         rows = alleles.withColumn("sample_at", _proband(sample)).withColumn(
-            "metrics", metrics(F.get("sample_fields", F.col("sample_at")))
-        )
+            "metrics", sample_metrics(F.col("format"), F.get("sample_fields", F.col("sample_at")), F.col("alt_index"))
+        ).withColumn("zygosity", F.col("metrics.zygosity"))
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.vcf(\.b?gz)?$", "")
     return rows.select(
         "file",
@@ -188,6 +215,6 @@ def parse_calls(
         F.coalesce(F.get("sample_names", F.col("sample_at")), stem).alias("sample_id"),
         "chrom", "pos", "ref", "alt",
         *[F.col(f"effect.{f}").alias(f) for f in FIELDS],
-        "metrics.zygosity", "metrics.depth", "metrics.gq", "metrics.allele_balance",
+        "zygosity", "metrics.depth", "metrics.gq", "metrics.allele_balance",
         "filter_status", "variant_id", "n_alts", "alt_index", "info", "build",
     )
