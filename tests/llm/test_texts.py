@@ -254,3 +254,50 @@ def test_densities_equal_the_plain_recursion():
             return [sum(d for d, _ in own)] + [v for _, s in own for v in s]
 
         assert np.allclose([n.total for n in nodes], sums(tree))
+
+
+def test_every_training_window_is_trained_on_once():
+    from types import SimpleNamespace
+
+    from locusflow.llm import attention_lm as lm
+
+    with open(lm_scoring.MODEL_FILE, "rb") as f:
+        processor = lm_scoring._processor(f.read())
+    size = processor.get_piece_size()
+    texts = [" ".join(f"word{i * j % 97}" for j in range(i)) for i in range(60)]
+    block = lm_scoring.Block(5)
+    held_out = np.arange(60) % 10 == 0
+    rows = pd.concat([block.add(np.arange(60), held_out, texts), *block.counts(processor, size)], ignore_index=True)
+    flat, first = lm_scoring._spelled(rows)
+    pieces = rows[rows["kind"] == lm_scoring.PIECE]
+    count, beside = np.zeros(size, dtype=np.int64), np.zeros((size, 2 * lm.BESIDE), dtype=np.int64)
+    at = pieces["key"].to_numpy(dtype=np.int64)
+    count[at], beside[at] = pieces["n"].to_numpy(dtype=np.int64), np.stack(pieces["beside"])
+    language = lm.initial(count, beside, np.arange(size) % 2 == 0)
+    given = rows[(rows["kind"] == lm_scoring.SPELLED) | ((rows["kind"] == lm_scoring.DOCUMENT) & (rows["n"] == 0))]
+    change = lm_scoring._learner(SimpleNamespace(value=language), 0, 1)((5,), given).sort_values("chunk")
+    want = sum(-(-(len(processor.encode(t.split())) and sum(map(len, processor.encode(t.split()))) + 1 or 1) // lm.STEP) for t, o in zip(texts, held_out) if not o)
+    assert np.frombuffer(b"".join(change["data"]))[-1] == want and len(flat) == first[-1]
+
+
+def test_gradients_follow_the_loss():
+    from locusflow.llm import attention_lm as lm
+
+    rng = np.random.default_rng(1)
+    length, target = np.array([20, 5]), rng.integers(3, 40, 25)
+    given = rng.integers(3, 40, 25)
+    m = lm.initial(np.bincount(target, minlength=40), lm.sketch(given, target, 40), np.arange(40) % 2 == 0)
+    m = m._replace(weights=lm.Attention(*(p.astype(np.float64) for p in m.weights)))
+    window = lm.windows(given, length, target)
+    seen, gradients = lm._gradients(m.weights, m.piece_class, window)
+    loss = lambda: -lm.predict(m, given, length, target)[0].astype(np.float64).mean()
+    for name, g in zip(lm.Attention._fields, gradients):
+        p = getattr(m.weights, name)
+        place = np.unravel_index(np.abs(g).argmax(), g.shape)
+        there = (seen[place[0]], *place[1:]) if name == "embed" else place
+        before, found = p[there], []
+        for step in (1e-2, -1e-2):
+            p[there] = before + step
+            found.append(loss())
+        p[there] = before
+        assert np.isclose((found[0] - found[1]) / 2e-2, g[place], rtol=0.05, atol=2e-4), name
