@@ -257,8 +257,6 @@ def test_densities_equal_the_plain_recursion():
 
 
 def test_every_training_window_is_trained_on_once():
-    from types import SimpleNamespace
-
     from locusflow.llm import attention_lm as lm
 
     with open(lm_scoring.MODEL_FILE, "rb") as f:
@@ -269,15 +267,13 @@ def test_every_training_window_is_trained_on_once():
     held_out = np.arange(60) % 10 == 0
     rows = pd.concat([block.add(np.arange(60), held_out, texts), *block.counts(processor, size)], ignore_index=True)
     flat, first = lm_scoring._spelled(rows)
-    pieces = rows[rows["kind"] == lm_scoring.PIECE]
-    count, beside = np.zeros(size, dtype=np.int64), np.zeros((size, 2 * lm.BESIDE), dtype=np.int64)
-    at = pieces["key"].to_numpy(dtype=np.int64)
-    count[at], beside[at] = pieces["n"].to_numpy(dtype=np.int64), np.stack(pieces["beside"])
-    language = lm.initial(count, beside, np.arange(size) % 2 == 0)
-    given = rows[(rows["kind"] == lm_scoring.SPELLED) | ((rows["kind"] == lm_scoring.DOCUMENT) & (rows["n"] == 0))]
-    change = lm_scoring._learner(SimpleNamespace(value=language), 0, 1)((5,), given).sort_values("chunk")
+    given = rows[rows["kind"] == lm_scoring.TRAINING]
+    window = np.concatenate([lm_scoring._windows(d, n) for d, n in zip(given["data"], given["n"])])
     want = sum(-(-(len(processor.encode(t.split())) and sum(map(len, processor.encode(t.split()))) + 1 or 1) // lm.STEP) for t, o in zip(texts, held_out) if not o)
-    assert np.frombuffer(b"".join(change["data"]))[-1] == want and len(flat) == first[-1]
+    assert len(window) == want and (window[:, -1] == 1).sum() == (~held_out).sum() and len(flat) == first[-1]
+    rng = np.random.default_rng(2)
+    language = lm.initial(rng.integers(1, 9, size), rng.integers(-3, 4, (size, 2 * lm.BESIDE)), np.arange(size) % 2 == 0)
+    assert lm.improve(language, [window[:7], window[7:]])[1] == want
 
 
 def test_gradients_follow_the_loss():
