@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from locusflow.llm import language_crf, lm_scoring, piece_codec, quality_mil, toxicity
 from locusflow.llm.html_text import extract_text, main_text
+from locusflow.llm.words import words_of
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "123 !!"), (None, "the of and"), (6, "word " * 3000), (7, "é▁ 日本 😀\n\tx"), (7, "é▁ 日本 😀\n\tx"), (8, "x" * 5000)]
@@ -297,3 +298,44 @@ def test_gradients_follow_the_loss():
             found.append(loss())
         p[there] = before
         assert np.isclose((found[0] - found[1]) / 2e-2, g[place], rtol=0.05, atol=2e-4), name
+
+
+def test_a_part_moves_only_the_embeddings_of_its_pieces():
+    from locusflow.llm import attention_lm as lm
+
+    rng = np.random.default_rng(3)
+    parts, count = [], np.zeros(80, dtype=np.int64)
+    for low in (3, 40):
+        length = rng.integers(1, 60, 40)
+        given, target = rng.integers(low, low + 30, (2, length.sum()))
+        parts.append(lm.windows(given, length, target))
+        count += np.bincount(target, minlength=80)
+    m = lm.initial(count, rng.integers(-9, 9, (80, 2 * lm.BESIDE)), np.arange(80) % 2 == 0)
+    one, both = lm.improve(m, parts[:1])[0].weights.embed, lm.improve(m, parts)[0].weights.embed
+    assert (one[:34] == both[:34]).all() and (one[3:33] != m.weights.embed[3:33]).any(axis=1).all()
+    assert (both[40:70] != m.weights.embed[40:70]).any(axis=1).all() and (both[70:] == m.weights.embed[70:]).all()
+
+
+def test_scores_out_of_range_are_limited():
+    from locusflow.llm import attention_lm as lm
+
+    rng = np.random.default_rng(6)
+    length = np.array([40, 7])
+    given, target = rng.integers(3, 40, (2, 47))
+    m = lm.initial(np.bincount(target, minlength=40), lm.sketch(given, target, 40), np.arange(40) % 2 == 0)
+    m.weights.out_bias[:] = np.where(np.arange(len(m.starts)) % 2, 500, -500)
+    for log in lm.predict(m, given, length, target):
+        assert np.isfinite(log).all() and (log <= 1e-6).all()
+    _, gradients = lm._gradients(m.weights, m.piece_class, lm.windows(given, length, target))
+    assert all(np.isfinite(g).all() for g in gradients)
+
+
+def test_a_block_numbers_its_words_slice_by_slice():
+    texts = ["B a \ud800x é é", None, "", "▁a a z\x85q\x1cw\x00", "new\nold\ta A", "new é b"]
+    block = lm_scoring.Vocabulary()
+    for a, b in ((0, 2), (2, 3), (3, 5), (5, 6)):
+        w = words_of(texts[a:b])
+        places = block.add(w)
+        found = [w.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.start, w.end)]
+        assert [block.words[p] for p in places] == found and (block.hashes()[places].view(np.uint64) == w.hash).all()
+    assert len(set(block.words)) == len(block.words) == len(block.hashes()) == 8
