@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from locusflow.operators import ranking
+from locusflow.operators.routing import rank_report
 from locusflow.operators.selection import rank_candidates
 from locusflow.workload.catalog import all_queries
 from locusflow.workload.inputs import forget, inputs
@@ -32,3 +33,10 @@ def test_planted_ranks_need_no_classification(monkeypatch, spark):
     best = rank_candidates(i.classified()).groupBy("sample_id", "gene").agg(F.min("candidate_rank").alias("best_rank"))
     want = i.relation("answer_key").join(best, ["sample_id", "gene"], "left").select(*got.columns)
     assert got.where("best_rank is not null").count() and rows(got) == rows(want)
+
+
+def test_report_order_moves_only_what_it_orders_by(monkeypatch, spark):
+    got = ranked_from(monkeypatch, spark, "W2_report_order")
+    want = rank_report(inputs(spark, FOLDER).classified()).select(*got.columns)
+    assert got.count() and rows(got) == rows(want)
+    ranked_from(monkeypatch, spark, "W3_vus_ranking")
