@@ -277,6 +277,39 @@ def test_every_training_window_is_trained_on_once():
     assert lm.improve(language, [window[:7], window[7:]])[1] == want
 
 
+def test_every_round_trains_on_all_windows_of_a_large_corpus(spark):
+    from locusflow.llm import attention_lm as lm
+
+    with open(lm_scoring.MODEL_FILE, "rb") as f:
+        model = f.read()
+    processor = lm_scoring._processor(model)
+    size, rng = processor.get_piece_size(), np.random.default_rng(7)
+    block = lm_scoring.Block(0)
+    # Slices of one block; each is a row of the kind TRAINING.
+    for a in range(0, 90, 10):
+        block.add(np.arange(a, a + 10), np.zeros(10, dtype=bool), [" ".join(f"w{x}" for x in rng.integers(0, 50, 60)) for _ in range(10)])
+    rows = pd.concat(block.counts(processor, size), ignore_index=True)
+    rows.loc[rows["kind"] == lm_scoring.PIECE, "n"] *= 10_000  # as many pieces as a large corpus has
+    fields = [f.split()[0] for f in lm_scoring.COUNTED.split(", ")]
+    plain = [tuple(None if v is None or v is pd.NA or isinstance(v, float) else v.tolist() if hasattr(v, "tolist") else v for v in r) for r in rows[fields].itertuples(index=False)]
+    found = spark.createDataFrame(plain, lm_scoring.COUNTED).coalesce(1)
+    got, count = lm_scoring.fit_attention(found, model)
+    assert count.sum() > 10_000_000
+    training = rows[rows["kind"] == lm_scoring.TRAINING]
+    beside = np.zeros((size, 2 * lm.BESIDE), dtype=np.int64)
+    pieces = rows[rows["kind"] == lm_scoring.PIECE]
+    beside[pieces["key"].astype(int)] = np.stack(pieces["beside"].to_list())
+    is_start = np.array([processor.id_to_piece(i).startswith("\u2581") for i in range(size)])
+    is_start[lm.EOS] = True
+    want = lm.initial(count, beside, is_start)
+    assert len(training) == 9
+    for r in range(lm_scoring.ROUNDS):
+        windows = [lm_scoring._windows(d, int(n)) for d, n in zip(training["data"], training["n"])]
+        want, _ = lm.improve(want, windows, (r + 0.5) / lm_scoring.ROUNDS, seed=3 + r)
+    for name, a, b in zip(lm.Attention._fields, got.weights, want.weights):
+        assert np.allclose(a, b, atol=2e-3), name
+
+
 def test_gradients_follow_the_loss():
     from locusflow.llm import attention_lm as lm
 
